@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import simhash
+from lorewell.llm import decontaminate, packing, personal, quality, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,5 +16,29 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in packs of 2,048 words."""
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, and their probability of being good."""
+    kept = quality.keep_good(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), probability_as="probability")
+    return kept.select("doc_id", "probability")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, the item, and how much of it."""
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of personal data in every document."""
+    return personal.personal_data(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op2_packing, op5_quality_classifier, op7_benchmark_decontamination, op8_pii)
+}
 ORACLES: dict[str, str] = {}
