@@ -1,0 +1,31 @@
+"""Numpy arrays as files in the shared folder: mapped into memory where the folder is a file system's, read otherwise."""
+
+from __future__ import annotations
+
+import io
+from urllib.parse import urlparse
+
+import numpy as np
+from pyarrow import fs
+
+
+def save(uri: str, array: np.ndarray) -> None:
+    out = io.BytesIO()
+    np.save(out, array)
+    where, path = fs.FileSystem.from_uri(uri)
+    where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with where.open_output_stream(path) as f:
+        f.write(out.getbuffer())
+
+
+def load(uri: str) -> np.ndarray:
+    parsed = urlparse(uri)
+    if parsed.scheme in ("", "file"):
+        return np.load(parsed.path, mmap_mode="r")
+    where, path = fs.FileSystem.from_uri(uri)
+    with where.open_input_stream(path) as f:
+        return np.load(io.BytesIO(f.read()))
+
+
+def as_uri(path: str) -> str:
+    return path if urlparse(path).scheme else f"file://{path}"

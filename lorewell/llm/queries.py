@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.llm import decontaminate, packing, personal, quality, simhash
+from lorewell.llm import decontaminate, language_model, oracles, packing, personal, quality, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability and perplexity of every document under a trigram model of all documents."""
+    scored = language_model.score(_read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_prob", 4).alias("log_prob"), F.round("perplexity", 3).alias("perplexity"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, and their probability of being good."""
     kept = quality.keep_good(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), probability_as="probability")
@@ -39,6 +45,6 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_packing, op5_quality_classifier, op7_benchmark_decontamination, op8_pii)
+    for f in (op1_simhash_near_dedup, op2_packing, op3_language_model, op5_quality_classifier, op7_benchmark_decontamination, op8_pii)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_language_model": oracles.LANGUAGE_MODEL}
