@@ -109,30 +109,31 @@ def score(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _templates(laid: np.ndarray, first: np.ndarray, bad: np.ndarray, n: int) -> list[np.ndarray]:
     """n windows of 5 bytes that many bad and few good texts have, each picked for the texts that the earlier ones explain least."""
-    k, found = 5, []
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(laid) - k, np.uint64)
+    k, found, slots = 5, [], 1 << 24
+
+    def windows(d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of a text's windows, each once, and a place of each."""
+        own = laid[first[d] * CHUNK : first[d + 1] * CHUNK].astype(np.uint64)
+        h = np.zeros(len(own) - k, np.uint64)
         for i in range(k):
-            h = h * np.uint64(257) + laid[i : len(laid) - k + i]
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first) * CHUNK)[: len(h)]
-    h = h[: len(doc)]
-    key = h * np.uint64(1 << 13) + doc.astype(np.uint64)
-    _, one = np.unique(mix(key), return_index=True)
-    h, doc, at = h[one], doc[one], one
-    order = np.argsort(h, kind="stable")
-    h, doc, at = h[order], doc[order], at[order]
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    end = np.concatenate([start[1:], [len(h)]])
-    is_bad = bad[doc].astype(np.int64)
-    n_bad = np.add.reduceat(is_bad, start)
-    n_good = (end - start) - n_bad
-    n_bad = np.where(n_bad < min(4, max(1, bad.sum() // 8)), 0, n_bad)
-    gain = n_bad / max(1, bad.sum()) - 3 * n_good / max(1, (~bad).sum())
-    top = np.argsort(-gain, kind="stable")[:4000]
-    top = top[gain[top] > 0]
-    rows = np.zeros((len(top), len(bad)), np.float32)
-    for r, g in enumerate(top):
-        rows[r, doc[start[g] : end[g]]] = 1
+            h = h << np.uint64(8) | own[i : len(own) - k + i]
+        return np.unique((mix(h) >> np.uint64(40)).astype(np.int64), return_index=True)
+
+    n_bad, n_good = np.zeros(slots, np.int16), np.zeros(slots, np.int16)
+    for d in range(len(bad)):
+        (n_bad if bad[d] else n_good)[windows(d)[0]] += 1
+    some = np.flatnonzero(n_bad >= min(4, max(1, bad.sum() // 8)))
+    gain = n_bad[some] / max(1, bad.sum()) - 3 * n_good[some] / max(1, (~bad).sum())
+    top = some[np.argsort(-gain, kind="stable")[:2500]]
+    top = np.sort(top[gain[np.searchsorted(some, top)] > 0])
+    rows, at = np.zeros((len(top), len(bad)), np.float32), np.zeros(len(top), np.int64)
+    for d in range(len(bad) if len(top) else 0):
+        slot, place = windows(d)
+        row = np.minimum(np.searchsorted(top, slot), len(top) - 1)
+        hit = top[row] == slot
+        rows[row[hit], d] = 1
+        if bad[d]:
+            at[row[hit]] = place[hit] + first[d] * CHUNK
     weight = np.ones(len(bad), np.float32)
     good = -3 * max(1, bad.sum()) / max(1, (~bad).sum())
     while len(found) < n and len(top):
@@ -140,7 +141,7 @@ def _templates(laid: np.ndarray, first: np.ndarray, bad: np.ndarray, n: int) ->
         r = int(value.argmax())
         if value[r] <= 0:
             break
-        found.append(laid[at[start[top[r]]] : at[start[top[r]]] + k])
+        found.append(laid[at[r] : at[r] + k])
         weight[rows[r] > 0] *= 0.5
         overlap = rows @ rows[r] > 0.6 * rows.sum(axis=1)
         rows[overlap] *= 0.7
@@ -226,14 +227,20 @@ def fit(texts: list[bytes], good: np.ndarray, toxic: np.ndarray | None = None, s
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, steps: int = STEPS) -> Net:
     """Network from the labelled documents; good means quality 1 and not toxic.
 
-    The sample is bounded: the ``most`` labelled documents of smallest hashed
-    doc_id among those of at most ``most_bytes`` bytes.  Rows with a null doc_id,
+    The sample is bounded: the documents of the ``most`` labels of smallest hashed
+    doc_id, but for those of more than ``most_bytes`` bytes.  Rows with a null doc_id,
     text or quality don't count, a null toxic counts as 0; of repeated rows, each
     counts.
     """
-    marked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("i"), (F.col("quality") == 1).alias("fine"), (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"))
+    marked = (
+        labels.where("doc_id is not null and quality is not null")
+        .select(F.col("doc_id").cast("long").alias("i"), (F.col("quality") == 1).alias("fine"), (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"))
+        .orderBy(F.xxhash64("i"), "i", "fine", "toxic")
+        .limit(most)
+    )
     texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)).select(F.col("doc_id").cast("long").alias("i"), "text")
-    chosen = texts.join(marked, "i").orderBy(F.xxhash64("i"), "i", "text", "fine", "toxic").limit(most).select("text", "fine", "toxic").toPandas()
+    # at most ``most`` short rows are broadcast, so that the documents are read once and not shuffled
+    chosen = texts.join(F.broadcast(marked), "i").toPandas().sort_values(["i", "text", "fine", "toxic"], ignore_index=True)
     toxic = chosen["toxic"].to_numpy(bool)
     return fit([t.encode("utf-8") for t in chosen["text"]], chosen["fine"].to_numpy(bool) & ~toxic, toxic, steps)
 
