@@ -34,3 +34,20 @@ select doc_id, len(ws)::bigint as n_words, round(coalesce(l, 0), 4) as log_prob,
   case when len(ws) > 0 then round(exp(-l / (len(ws) + 1)), 3) end as perplexity
 from w left join sums using (r)
 """
+
+CHAT = r"""
+with t as (
+  select conv_id, role, coalesce(role, '') as r, coalesce(text, '') as x,
+    row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as k
+  from conversations where conv_id is not null
+), s as (
+  select conv_id, role, k, '<|im_start|>' || r || chr(10) as head, x, '<|im_end|>' || chr(10) as tail from t
+), b as (
+  select *, strlen(head)::bigint as h, strlen(x)::bigint as n,
+    coalesce(sum(strlen(head) + strlen(x) + strlen(tail)) over (partition by conv_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as before from s
+)
+select conv_id, string_agg(head || x || tail, '' order by k) as text, count(*)::bigint as n_turns,
+  sum(h + n + strlen(tail))::bigint as n_bytes,
+  coalesce(string_agg((before + h)::varchar || '-' || (before + h + n + 10)::varchar, ' ' order by k) filter (where role = 'assistant'), '') as loss_spans
+from b group by conv_id
+"""
