@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm.bytetext import Words, mix, shingles, slices, utf8
+from lorewell.llm.simhash import without
 from lorewell.shared import cut
 
 LEAST = 5
@@ -190,5 +191,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, le
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """``docs`` without the documents that ``leaks`` lists; rows without doc_id or text stay."""
-    gone = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without(docs, leaks(docs, benchmark, threshold))

@@ -281,7 +281,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("duplicate_of"))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``gone``; a null doc_id stays."""
+    mark = "__gone"
+    while mark in docs.columns:
+        mark += "_"
+    ids = gone.select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col(mark), "left_anti")
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the documents that ``near_duplicates`` lists; rows without signature or doc_id stay."""
-    gone = near_duplicates(docs, radius).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without(docs, near_duplicates(docs, radius))
