@@ -55,8 +55,13 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, tuple[i
                         fills.pop(0)
                 put(total + length, (*pattern, length), n)
             else:
+                # none has room: a new pack is then the emptiest until it has no room either
+                m = size // length
+                if left >= m:
+                    put(m * length, (length,) * m, left // m)
+                if left % m:
+                    put(left % m * length, (length,) * (left % m), 1)
                 n = left
-                put(length, (length,), n)
             left -= n
     return [(n, pattern) for total in sorted(filled, reverse=True) for pattern, n in sorted(filled[total].items())]
 
