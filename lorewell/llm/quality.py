@@ -38,12 +38,12 @@ class Net:
 
 
 def lay_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts side by side, each filled up with at least WIDTH - 1 zero bytes to whole chunks; and the chunk offsets of the texts."""
+    """Texts side by side in whole chunks, each with WIDTH - 1 zero bytes before it, so that no window sees two texts; and the chunk offsets of the texts."""
     size = np.diff(offsets)
     chunks = -(-(size + WIDTH - 1) // CHUNK)
     first = np.concatenate([[0], np.cumsum(chunks)])
     out = np.zeros(int(first[-1]) * CHUNK + WIDTH, np.uint8)
-    shift = first[:-1] * CHUNK - offsets[:-1]
+    shift = first[:-1] * CHUNK - offsets[:-1] + WIDTH - 1
     if len(data):
         out[np.arange(len(data)) + np.repeat(shift, size)] = data
     return out, first
@@ -85,7 +85,8 @@ def chunk_maxima(net: Net, laid: np.ndarray, n_chunks: int, where: bool = False,
 def _fill(size: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Weight of each chunk in its text's mean: its share of the text's bytes."""
     doc = np.repeat(np.arange(len(size)), np.diff(first))
-    own = np.clip(size[doc] - (np.arange(int(first[-1])) - first[doc]) * CHUNK, 0, CHUNK)
+    begin = (np.arange(int(first[-1])) - first[doc]) * CHUNK - WIDTH + 1
+    own = np.clip(np.minimum(size[doc], begin + CHUNK) - np.maximum(begin, 0), 0, CHUNK)
     own = np.where(size[doc] == 0, CHUNK, own)
     return (own / np.maximum(size[doc], np.where(size[doc] == 0, CHUNK, 1))).astype(np.float32)
 

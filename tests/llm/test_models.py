@@ -82,10 +82,11 @@ def test_chunked_convolution_against_single_windows():
     got = quality.score(net, np.frombuffer(b"".join(texts), np.uint8), offsets)
     for t, p in zip(texts, got):
         chunks = -(-(len(t) + quality.WIDTH - 1) // quality.CHUNK)
-        padded = np.frombuffer(t + b"\0" * (chunks * quality.CHUNK + quality.WIDTH - len(t)), np.uint8)
+        padded = np.frombuffer(b"\0" * (quality.WIDTH - 1) + t + b"\0" * (chunks * quality.CHUNK + 1 - len(t)), np.uint8)
         act = np.array([[max(net.emb[padded[c * quality.CHUNK + k :][: quality.WIDTH]].reshape(-1) @ net.w[:, f] for k in range(quality.CHUNK)) for f in range(quality.FILTERS)] for c in range(chunks)])
         act = np.maximum(act + net.b, 0)
-        share = np.array([min(quality.CHUNK, len(t) - c * quality.CHUNK) / len(t) if t else 1 for c in range(chunks)])
+        spot = [(max(0, c * quality.CHUNK - quality.WIDTH + 1), min(len(t), (c + 1) * quality.CHUNK - quality.WIDTH + 1)) for c in range(chunks)]
+        share = np.array([max(0, b - a) / len(t) if t else 1 for a, b in spot])
         z = np.concatenate([act.max(axis=0), np.maximum(share, 0) @ act, [max(0, 8 - math.log2(len(t) + 1))]]) @ net.v + net.c
         assert abs(1 / (1 + math.exp(-z)) - p) < 1e-3
 
