@@ -1,8 +1,8 @@
 """Inverted index and BM25.
 
-Two ways to search.  ``bm25`` scans texts: occurrences of each query term are
-counted inside the row, so that nothing is exploded and only the best rows leave a
-task.  ``search_index`` reads a stored index, whose postings are sorted by term, so
+Two ways to search.  ``bm25`` scans texts once: occurrences of each query term are
+counted inside the row, so that nothing is exploded or shuffled; what is kept of a
+document is its length and these counts.  ``search_index`` reads a stored index, whose postings are sorted by term, so
 that a query opens few row groups.
 """
 
@@ -13,6 +13,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lorewell.functions import scores, text as T
+from lorewell.shared import cut
 
 
 def tokens(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -20,9 +21,18 @@ def tokens(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str =
     return docs.select(key, T.analyzer(analyzer)(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
 
 
+def exploded(tokens_: DataFrame, *keep: str) -> DataFrame:
+    """(keep, term), a row for each token.
+
+    The outer form keeps the optimizer from adding a filter on the array's size
+    under it, which would tokenize every text twice.
+    """
+    return tokens_.select(*keep, F.explode_outer("tokens").alias("term")).where("term is not null")
+
+
 def postings(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> DataFrame:
     """(term, key, tf)."""
-    return tokens(docs, analyzer, text, key).select(key, F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")).select("term", key, "tf")
+    return exploded(tokens(docs, analyzer, text, key), key).groupBy("term", key).agg(F.count("*").alias("tf")).select("term", key, "tf")
 
 
 def doc_stats(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -53,7 +63,9 @@ def bm25(docs: DataFrame, query: str, top_k: int = 10, analyzer: str = "en", tex
     tok = T.analyzer(analyzer)(F.coalesce(F.col(text), F.lit("")))
     counted = docs.select(F.col(key), mark.alias("__ok"), tok.alias("__t")).select(
         key, "__ok", F.size("__t").cast("long").alias("dl"), *(occurrences(F.col("__t"), w).alias(f"tf{i}") for i, (w, _) in enumerate(terms))
-    ).where("dl > 0")
+    )
+    # kept as a narrow table: texts are read and tokenized once, and no filter on counts is pushed below them
+    counted = cut(counted).where("dl > 0")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     hit = counted.where(F.col("__ok") & (F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(terms)))) > 0))
     total = F.lit(0.0)
@@ -67,7 +79,8 @@ def bm25(docs: DataFrame, query: str, top_k: int = 10, analyzer: str = "en", tex
 def write_index(docs: DataFrame, path: str, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> None:
     """Postings with their document's length, range-partitioned and sorted by term; and the collection's two totals."""
     lengths = doc_stats(docs, analyzer, text, key)
-    full = tokens(docs, analyzer, text, key).select(key, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    sized = tokens(docs, analyzer, text, key).select(key, F.size("tokens").cast("long").alias("dl"), "tokens")
+    full = exploded(sized, key, "dl").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     full.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
     lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
 
@@ -87,8 +100,9 @@ def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, an
 def term_stats(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row: documents, distinct terms, mean length."""
     t = tokens(docs, analyzer, text, key)
-    a = t.select(F.size("tokens").alias("dl")).where("dl > 0").agg(F.count("*").alias("n_docs"), F.round(F.avg("dl"), 6).alias("avgdl"))
-    b = t.select(F.explode("tokens").alias("w")).agg(F.countDistinct("w").alias("n_terms"))
+    own = t.select(F.when(F.size("tokens") > 0, F.size("tokens")).alias("dl"))
+    a = own.agg(F.count("dl").alias("n_docs"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    b = exploded(t).agg(F.countDistinct("term").alias("n_terms"))
     return a.crossJoin(F.broadcast(b))
 
 

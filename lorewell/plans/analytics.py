@@ -68,8 +68,7 @@ def metrics_latency_hist(spark, sf_dir):
 
 @query(f"with t as (select unnest({tokens_sql()}) as term from documents) select term, count(*)::bigint as n from t group by 1 order by n desc, term limit 20")
 def metrics_top_terms(spark, sf_dir):
-    words = fulltext.tokens(table(spark, sf_dir, "documents")).select(F.explode("tokens").alias("term"))
-    return metrics.top_terms(words, 20)
+    return metrics.top_terms(fulltext.exploded(fulltext.tokens(table(spark, sf_dir, "documents"))), 20)
 
 
 @query("with t as (select event_type as term, count(*) * 0.001 as n from events group by 1) select term, round(n, 6)::double as n from t where n >= 0.01")
