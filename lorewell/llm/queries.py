@@ -22,8 +22,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probability and perplexity of every document under a trigram model of all documents."""
-    scored = language_model.score(_read(spark, sf_dir, "documents"))
+    """Log-probability and perplexity of every document under a trigram model of all documents, with every n-gram kept."""
+    scored = language_model.score(_read(spark, sf_dir, "documents"), least=1)
     return scored.select("doc_id", "n_words", F.round("log_prob", 4).alias("log_prob"), F.round("perplexity", 3).alias("perplexity"))
 
 
