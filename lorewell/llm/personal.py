@@ -77,13 +77,13 @@ def spans(labels: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tup
     if not labels.any():
         return []
     padded = np.concatenate([[0], labels, [0]])
-    edge = np.flatnonzero(padded[1:] != padded[:-1])
+    change = padded[1:] != padded[:-1]
+    change[offsets] = True  # no span crosses texts
+    edge = np.flatnonzero(change)
     grown = []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         kind = int(labels[a])
         d = int(np.searchsorted(offsets, a, side="right")) - 1
-        for piece_end in [x for x in offsets[d + 1 :].tolist() if x < b][:1] or [b]:
-            b = min(b, piece_end)  # no span crosses texts
         if kind == 0:
             continue
         token = _TOKEN[kind]

@@ -1,9 +1,11 @@
 """The operators leave nothing out: no pruned counts, no lost pieces, no skipped rows."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from lorewell.llm import oracles, queries
+from lorewell.llm import oracles, personal, queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -20,3 +22,20 @@ def test_language_model_keeps_ngrams_that_occur_once(spark):
     for r in got:
         n, lp, ppl = want[r.doc_id]
         assert r.n_words == n and r.log_prob == pytest.approx(lp, abs=2e-4) and r.perplexity == pytest.approx(ppl, abs=2e-3)
+
+
+# --- op8 --------------------------------------------------------------------
+def test_personal_data_at_the_edge_of_a_text():
+    data = np.frombuffer(b"a@b.coc@d.eu" + b"1.2.3.4" + b"5.6.7.8", np.uint8)
+    labels = np.repeat([1, 3], [12, 14]).astype(np.uint8)
+    offsets = np.array([0, 6, 6, 12, 19, 26])  # the second text is empty
+    assert personal.spans(labels, data, offsets) == [(0, 6, 1), (6, 12, 1), (12, 19, 3), (19, 26, 3)]
+
+
+def test_rows_that_are_only_personal_data():
+    mails = [f"mail{i}.jones@mail{i % 7}.example.com" for i in range(10, 40)]
+    numbers = [f"192.168.{i}.77" for i in range(10, 40)]
+    for values, mark in ((mails, "[EMAIL]"), (numbers, "[IP]")):
+        alone = [personal.redact(personal.load(), pa.array([v]))[0].as_py() for v in values]
+        assert alone.count(mark) >= 28
+        assert personal.redact(personal.load(), pa.array(values)).to_pylist() == alone  # whatever stands in the same batch
