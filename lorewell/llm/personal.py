@@ -5,7 +5,9 @@ that overlap by 2 * ``CONTEXT``.  A byte's label comes from the window in which
 stands farther from the edge, so that labels are reconciled over the whole text;
 runs of one label make a span.  A span then grows to the edges of its token, spans
 that meet are joined, and one that cannot be of its kind (an e-mail address without
-@, an address of fewer than four numbers) is dropped.
+@, an address of fewer than four numbers) is dropped.  A span that is a list of whole
+items of its kind is split into these; one that isn't stays whole, so that no part of
+it is lost.
 """
 
 from __future__ import annotations
@@ -38,6 +40,18 @@ _SHAPE = {
     4: re.compile(rb"(?:\D*\d){13}"),
     5: re.compile(rb"(?=.*\d)\S{16}"),
 }
+# one item of each kind, and what may stand between two of them
+_ITEM = {
+    1: rb"[\w.%+\-\x80-\xff]+@[\w.\-\x80-\xff]+\.[\w\-\x80-\xff]+",
+    2: rb"\+?\d{1,3}[ .-]?\(\d{2,4}\) ?\d{3,4}[ .-]?\d{4}|\(\d{2,4}\) ?\d{3,4}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{1,4}){2,5}|\+\d{2} \d{3} \d{7}|\+\d{11,14}|\d{3}([ .-])\d{3}[ .-]\d{4}|\d{7,15}|\d{3}[ .-]\d{4}",
+    3: rb"\d+\.\d+\.\d+\.\d+",
+    4: rb"\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3\d{3}([ -]?)\d{6}\2\d{5}|\d{13,19}",
+    5: rb"[\w\-+/.]{16,}",
+}
+_BETWEEN = {1: rb"[^\w.%+\-@\x80-\xff]{1,3}", 2: rb"[\s,;|/]{1,3}", 3: rb"[^\d.]{1,3}", 4: rb"[\s,;|/]{1,3}", 5: rb"[\s,;|\"']{1,3}"}
+_NEXT = {k: re.compile(rb"(?:" + x + rb")(?=" + _BETWEEN[k] + rb"|\Z)") for k, x in _ITEM.items()}
+_GAP = {k: re.compile(x) for k, x in _BETWEEN.items()}
+_LINE = re.compile(rb"[^\s,;|](?:[^\r\n,;|\t]*[^\s,;|])?")
 
 
 def load() -> dict[str, np.ndarray]:
@@ -72,6 +86,25 @@ def label(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, texts
     return out
 
 
+def items(kind: int, value: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the items that ``value`` is a list of; all of it if it isn't one, nothing if it cannot be of its kind."""
+    shape = _SHAPE[kind]
+    if not shape.search(value):
+        return []
+    lines = [m.span() for m in _LINE.finditer(value)]
+    if len(lines) > 1 and all(shape.search(value[i:j]) for i, j in lines):
+        return [(i + k, i + m) for i, j in lines for k, m in items(kind, value[i:j])]
+    found, at = [], 0
+    while m := _NEXT[kind].match(value, at):
+        found.append(m.span())
+        gap = _GAP[kind].match(value, m.end())
+        at = gap.end() if gap else m.end()
+        if not gap or at == len(value):
+            break
+    whole = at == len(value) and len(found) > 1 and all(shape.search(value[i:j]) for i, j in found)
+    return found if whole else [(0, len(value))]
+
+
 def spans(labels: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, kind) in byte positions of ``data``, sorted and disjoint."""
     if not labels.any():
@@ -105,7 +138,7 @@ def spans(labels: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tup
             last[1] = max(last[1], b)
         else:
             merged.append([a, b, kind, d])
-    return [(a, b, kind) for a, b, kind, _ in merged if _SHAPE[kind].search(data[a:b].tobytes())]
+    return [(a + i, a + j, kind) for a, b, kind, _ in merged for i, j in items(kind, data[a:b].tobytes())]
 
 
 def find(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:

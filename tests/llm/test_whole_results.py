@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lorewell.llm import oracles, personal, queries
+from lorewell.llm import oracles, personal, queries, spans
 
 DIR = "/root/testdata/sf0.001"
 
@@ -39,3 +39,40 @@ def test_rows_that_are_only_personal_data():
         alone = [personal.redact(personal.load(), pa.array([v]))[0].as_py() for v in values]
         assert alone.count(mark) >= 28
         assert personal.redact(personal.load(), pa.array(values)).to_pylist() == alone  # whatever stands in the same batch
+
+
+@pytest.mark.parametrize(
+    "kind, pieces",
+    [
+        (1, ["a.b@mail.example.com", "x_y@example.co.uk", "p+q@ex-am.de"]),
+        (2, ["+1 (212) 555-0199", "+49 30 1234 5678", "+33 1 22 33 44 55", "+491234567890"]),
+        (2, ["555-123-4567", "555-987-6543", "(212) 555-0199", "212.555.0199"]),
+        (3, ["10.0.0.1", "192.168.1.77", "8.8.8.8"]),
+        (4, ["4111111111111111", "4111 1111 1111 1111", "4222-2222-2222-2222", "371449635398431"]),
+        (5, ["0123456789abcdef0123456789abcdef", "ghp_abcdefghij0123456789klmnopqrstuvwxyz"]),
+    ],
+)
+def test_lists_are_split_into_their_pieces(kind, pieces):
+    for between in (" ", ",", "\n", ", ", ";"):
+        value = between.join(pieces).encode()
+        labels = np.full(len(value), kind, np.uint8)
+        one_run = personal.spans(labels, np.frombuffer(value, np.uint8), np.array([0, len(value)]))
+        at = 0
+        for x in pieces[:-1]:
+            labels[at + len(x) : at + len(x) + len(between)] = 0
+            at += len(x) + len(between)
+        for got in (one_run, personal.spans(labels, np.frombuffer(value, np.uint8), np.array([0, len(value)]))):
+            assert [value[a:b].decode() for a, b, _ in got] == pieces
+
+
+@pytest.mark.parametrize("kind, value", [(1, b"a.b@mail.example.com"), (2, b"+1 (212) 555-0199"), (2, b"+33 1 22 33 44 55"), (2, b"+49 123 4567890"), (4, b"4111 1111 1111 1111"), (2, b"555-123-4567 ext 12"), (4, b"4111 1111 1111 1111 111")])
+def test_one_item_stays_one(kind, value):
+    assert personal.items(kind, value) == [(0, len(value))]
+
+
+def test_made_up_items_stay_one():
+    rng = np.random.default_rng(21)
+    for kind, make in ((1, spans.email), (2, spans.phone), (3, spans.ip), (4, spans.card), (5, lambda r: spans.secret(r)[1])):
+        for _ in range(500):
+            value = make(rng).encode()
+            assert personal.items(kind, value) in ([(0, len(value))], [])
