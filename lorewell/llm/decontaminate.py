@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm.bytetext import Words, mix, shingles, slices, utf8
-from lorewell.llm.simhash import without
+from lorewell.llm.simhash import numbered, without, without_rows
 from lorewell.shared import cut
 
 LEAST = 5
@@ -192,3 +192,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, le
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """``docs`` without the documents that ``leaks`` lists; rows without doc_id or text stay."""
     return without(docs, leaks(docs, benchmark, threshold))
+
+
+def drop_leaking_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item, whatever their doc_ids: null and repeated ones count row by row."""
+    rows, key = numbered(docs)
+    found = leaks(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, threshold)
+    return without_rows(rows, key, found).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm.bytetext import Words, mix, shingles, slices, utf8
 from lorewell.operators.components import connected_components
-from lorewell.shared import cut
+from lorewell.shared import cut, shared_path
 
 BITS = 256
 RADIUS = 64
@@ -293,3 +293,34 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the documents that ``near_duplicates`` lists; rows without signature or doc_id stay."""
     return without(docs, near_duplicates(docs, radius))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own for each row, and the key's name; written once and read again, since numbers made anew could differ."""
+    key = "__row"
+    while key in docs.columns:
+        key += "_"
+    path = shared_path(docs.sparkSession, "numbered")
+    docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path), key
+
+
+def without_rows(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` of ``numbered`` whose key isn't a doc_id of ``gone``, without the key."""
+    own = rows.withColumnRenamed("doc_id", key + "id").withColumnRenamed(key, "doc_id")
+    return without(own, gone).drop("doc_id").withColumnRenamed(key + "id", "doc_id")
+
+
+def drop_near_duplicate_rows(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, whatever their doc_ids: null and repeated ones count row by row.
+
+    The row of smallest doc_id stays, one without doc_id only if the group has no
+    other.  Rows without a word are in no group and stay.
+    """
+    rows, key = numbered(docs)
+    found = cut(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), radius))
+    group = found.select(F.col("doc_id").alias("row"), F.col("duplicate_of").alias("group"))
+    group = group.union(found.select("duplicate_of", "duplicate_of").distinct())
+    named = group.join(rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id")), "row")
+    stays = named.groupBy("group").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "row")).alias("first")).select("first.row")
+    return without_rows(rows, key, group.join(stays, "row", "left_anti").select(F.col("row").alias("doc_id"))).select(*docs.columns)

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from lorewell.llm import oracles, personal, queries, spans
 
 DIR = "/root/testdata/sf0.001"
@@ -76,3 +77,19 @@ def test_made_up_items_stay_one():
         for _ in range(500):
             value = make(rng).encode()
             assert personal.items(kind, value) in ([(0, len(value))], [])
+
+
+# --- pipeline ---------------------------------------------------------------
+def test_stages_decide_by_row(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    leak, clean = " ".join(f"q{i}" for i in range(30)), " ".join(f"z{i}" for i in range(60))
+    rows = [(None, a), (7, a), (7, a), (3, a), (None, b), (None, b), (7, c), (3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path))
+    key = lambda r: tuple(map(str, r))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted([(3, a), (None, b), (7, c), (3, None), (None, "")], key=key)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, leak), (5, leak + " " + clean), (5, clean), (None, clean), (6, None)]
+    got = corpus_pipeline.benchmark_decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted([(5, clean), (None, clean), (6, None)], key=key)
