@@ -16,6 +16,7 @@ how far it can be trusted on the given vectors, at any size.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,13 +152,11 @@ def probes(probability: np.ndarray, threshold: float) -> tuple[np.ndarray, np.nd
 
 
 def _usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, v): rows with an id and a finite vector that isn't zero, of the commonest length (of the longer, if two are as common)."""
+    """(id, v): rows with an id and a finite vector that isn't zero."""
     v = F.col(vector).cast("array<float>")
     norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), norm.alias("norm"))
-    fine = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.col("norm") > 0) & ~F.isnan("norm") & (F.col("norm") < float("inf")))
-    lengths = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return fine.where(F.size("v") == (lengths["n"] if lengths else 0)).select("id", "v")
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.col("norm") > 0) & ~F.isnan("norm") & (F.col("norm") < float("inf"))).select("id", "v")
 
 
 def _true_neighbours(rows: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
@@ -285,9 +284,9 @@ def _rerank(k: int):
 def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector: str = "embedding", part_rows: int = PART_ROWS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(id, neighbour, rank, similarity): the ``k`` vectors of largest cosine found for every vector, ranks from 1.
 
-    A row needs an id and a finite vector that isn't zero, of the table's commonest
-    length; other rows neither have nor are neighbours.  Equal similarities are
-    ordered by id.  Of several rows under one id each is a candidate and a query,
+    A row needs an id and a finite vector that isn't zero; other rows neither have
+    nor are neighbours.  Vectors are compared with those of their own length, which
+    have a router of their own.  Equal similarities are ordered by id.  Of several rows under one id each is a candidate and a query,
     the pair keeps the largest similarity, and an id is no neighbour of itself.
     With fewer than k other ids, all are returned; an empty table gives an empty
     result; other columns are ignored.
@@ -297,9 +296,15 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector: s
     """
     spark = vectors.sparkSession
     rows = cut(_usable(vectors, id_col, vector))
-    total = rows.count()
-    if total == 0:
+    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()  # a row a length
+    if not lengths:
         return spark.createDataFrame([], "id long, neighbour long, rank int, similarity double")
+    each = [_found(rows.where(F.size("v") == n["n"]), n["count"], k, part_rows, sample, recall) for n in lengths]
+    return _best(reduce(DataFrame.union, each), k).select("id", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+def _found(rows: DataFrame, total: int, k: int, part_rows: int, sample: int, recall: float) -> DataFrame:
+    """What the search finds in ``rows`` (id, v), whose vectors are of one length."""
     router, threshold, parts = learn(rows, total, k, part_rows, sample, recall)
 
     def home(batches):
@@ -312,5 +317,4 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector: s
     sizes = rows.mapInArrow(home, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > TILE).collect()
     tiles = {r["part"]: -(-r["n"] // TILE) for r in sizes}
     routed = rows.mapInArrow(_route(router, threshold, tiles), "id long, v array<float>, part int, tile int, query int")
-    found = routed.repartition("part", "tile").sortWithinPartitions("part", "tile", "query").mapInArrow(_rerank(k), FOUND)
-    return _best(found, k).select("id", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
+    return routed.repartition("part", "tile").sortWithinPartitions("part", "tile", "query").mapInArrow(_rerank(k), FOUND)

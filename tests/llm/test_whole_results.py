@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from lorewell.llm import oracles, personal, queries, spans
+from lorewell.llm import neighbours, oracles, personal, queries, spans
 
 DIR = "/root/testdata/sf0.001"
 
@@ -93,3 +93,11 @@ def test_stages_decide_by_row(spark, tmp_path):
     rows = [(None, leak), (5, leak + " " + clean), (5, clean), (None, clean), (6, None)]
     got = corpus_pipeline.benchmark_decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=key) == sorted([(5, clean), (None, clean), (6, None)], key=key)
+
+
+# --- op6 --------------------------------------------------------------------
+def test_vectors_of_every_length_have_neighbours(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 1.0, 0.0]), (6, [1.0])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.id, r.neighbour) for r in neighbours.neighbours(t).orderBy("id", "rank").collect()]
+    assert got == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 2), (3, 1), (4, 5), (5, 4)]
