@@ -12,8 +12,8 @@ with w as (
 ), seq as (
   select r, t, w, lag(w) over (partition by r order by t) as v, lag(w, 2) over (partition by r order by t) as u from s
 ), c1 as (select w, count(*)::double as c from seq group by 1),
-c2 as (select v, w, count(*)::double as c from seq where v is not null group by 1, 2 having count(*) >= 2),
-c3 as (select u, v, w, count(*)::double as c from seq where u is not null group by 1, 2, 3 having count(*) >= 2),
+c2 as (select v, w, count(*)::double as c from seq where v is not null group by 1, 2),
+c3 as (select u, v, w, count(*)::double as c from seq where u is not null group by 1, 2, 3),
 tot as (select sum(c) filter (w <> '<s>') as n, count(*) filter (w <> '<s>') as k from c1),
 p1 as (select w, c, (c + 1) / (n + k + 1) as p from c1, tot),
 p2 as (select c2.v, c2.w, c2.c, (c2.c - 0.75) / h.c as p, p1.p as less from c2 join c1 h on h.w = c2.v join p1 on p1.w = c2.w),

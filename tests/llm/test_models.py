@@ -19,7 +19,7 @@ def docs(spark, rows):
 
 
 # --- language model ---------------------------------------------------------
-def scored_by_hand(texts, least=2, d=0.75):
+def scored_by_hand(texts, least, d=0.75):
     seqs = [["<s>", *re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", (t or "").lower()), "</s>"] for t in texts]
     count = {}
     for s in seqs:
@@ -47,20 +47,68 @@ def scored_by_hand(texts, least=2, d=0.75):
     return out
 
 
-def test_language_model_against_definition(spark):
+@pytest.mark.parametrize("least, group_bytes", [(1, 1 << 20), (1, 90), (2, 1 << 20), (2, 90), (3, 1)])
+def test_language_model_against_definition(spark, least, group_bytes):
     rng = random.Random(0)
     words = "der the é ok 12 lorem".split()
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(120)]
     rows += [(500, None), (501, ""), (502, "!!"), (None, "the the"), (3, rows[3][1]), (504, "rare")]
-    got = language_model.score(docs(spark, rows).coalesce(1)).collect()
-    for r, (n, lp) in zip(got, scored_by_hand([t for _, t in rows])):
-        assert r.n_words == max(n, 0) and abs(r.log_prob - lp) < 1e-6
+    table = docs(spark, rows).coalesce(2)
+    got = sorted(language_model.score(table, least, group_bytes=group_bytes).collect(), key=lambda r: (r.doc_id or -1, r.n_words, r.log_prob))
+    want = sorted(zip([i or -1 for i, _ in rows], scored_by_hand([t for _, t in rows], least)), key=lambda x: (x[0], x[1][0], x[1][1]))
+    assert len(got) == len(want)
+    for r, (i, (n, lp)) in zip(got, want):
+        assert (r.doc_id or -1) == i and r.n_words == max(n, 0) and abs(r.log_prob - lp) < 1e-6
         assert (r.perplexity is None) == (n == 0) and (n == 0 or abs(r.perplexity - math.exp(-lp / (n + 1))) < 1e-6)
+
+
+def test_language_model_of_odd_tables(spark):
     assert language_model.score(docs(spark, [])).count() == 0
     assert language_model.score(docs(spark, [(1, None)])).first().log_prob == 0
     assert language_model.score(docs(spark, [(1, "a b")]).selectExpr("*", "1 as n_words", "2 as bin")).count() == 1
 
 
+def test_automaton_takes_failure_arcs():
+    texts = ["a b c a b d", "a b c", "c c c b a"]
+    g = language_model.Group(pa.array(texts))
+    triple = np.zeros(len(g.seq), np.int64)
+    a = language_model.Automaton(g, g.times, triple, 2, 0.75, 10, 5)  # no triple is kept, and only pairs that occur twice
+    a.back[:-1] = -np.arange(1, a.root + 1)
+    one = a.traverse(lanes=1)
+    assert np.array_equal(one, a.traverse(lanes=3)) and (one[g.seq == language_model.START] == 0).all()
+    arcs = {int(k): (int(x), float(y)) for k, x, y in zip(a.arcs, a.target, a.weight)}
+    for t, w in enumerate(g.word):  # one word after the other, arc by arc
+        if g.seq[t] == language_model.START:
+            state = w
+            continue
+        total = 0.0
+        while state != a.root and (int(state) << 32 | int(w)) not in arcs:
+            total, state = total + a.back[state], a.fail[state]
+        if state == a.root:
+            total, state = total + a.root_weight[w], w
+        else:
+            state, weight = arcs[int(state) << 32 | int(w)]
+            total += weight
+        assert one[t] == pytest.approx(total)
+
+
+def test_language_model_of_a_very_long_text(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(200_000))
+    rows = [(1, long), (2, "w1 w2 w3"), (3, long)]
+    got = {r.doc_id: r for r in language_model.score(docs(spark, rows), group_bytes=1 << 18).collect()}
+    want = scored_by_hand([t for _, t in rows], 1)
+    assert got[1].n_words == 200_000 and got[1].log_prob == got[3].log_prob == pytest.approx(want[0][1], rel=1e-9)
+
+
+def test_keys_as_gaps():
+    rng = np.random.default_rng(0)
+    for keys in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.array([0, (1 << 64) - 1], np.uint64), np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))):
+        assert np.array_equal(language_model.from_gaps(language_model.gaps(keys)), keys)
+    for x in (np.zeros(0, np.int64), np.array([255]), np.array([256, 0]), np.array([1 << 33]), np.array([0.5, -2.0])):
+        assert np.array_equal(language_model.unpack(language_model.pack(x)), x)
+
+
 # --- quality ----------------------------------------------------------------
 def test_quality_on_held_out_labels(spark):
     base = "/root/testdata/sf0.1"
