@@ -5,28 +5,35 @@ into parts of about equal size that cut few edges: recursive bisection gives a
 start, then vertices move to the part that most of their neighbours are in while it
 has room.  A small network (one hidden layer) learns, from a vector, the share of
 its neighbours in each part.  Every vector is stored in the part it most probably
-belongs to; as a query it goes to its most probable parts until their probabilities
-sum to a threshold, and what is found there is reranked by exact cosine.
-
-The threshold is set on held-out queries whose exact neighbours among all vectors
-are known: the smallest one that gives ``RECALL``.  So the routing says by itself
-how far it can be trusted on the given vectors, at any size.
+belongs to.  A sample can only tell so many parts apart, so that parts which are
+still too large are partitioned once more, each by a graph and a network of its
+own: the number of parts grows with the data, and the parts make a tree.
+
+A query goes down the tree to every part whose probability (the product along the
+path) is at least a cutoff, and what is found there is reranked by exact cosine.
+The cutoff is set on held-out queries whose exact neighbours among all vectors are
+known: the largest one that still reaches ``RECALL`` of these neighbours.  So the
+routing says by itself how far it can be trusted on the given vectors, at any size.
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lorewell.shared import cut
 
-K, PART_ROWS, SAMPLE, HELD_OUT, RECALL = 10, 2048, 20_000, 200, 0.96
+K, PART_ROWS, SAMPLE, HELD_OUT, RECALL = 10, 256, 20_000, 200, 0.96
 HIDDEN, STEPS, BATCH, GRAPH_K, TILE = 64, 800, 256, 16, 16_384
+FAN = 1024  # a node's children are node * FAN and the following; the root is 1
 FOUND = "id long, neighbour long, similarity double"
+PLACED = "id long, v array<float>, node long, lp double, goal long"
 
 
 def normalised(column: pa.Array) -> np.ndarray:
@@ -43,11 +50,13 @@ def exact(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, other: np.ndarray
     """
     n, m = len(queries), len(x)
     near, sim = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf, np.float32)
+    by_id = np.argsort(other, kind="stable")
+    first, last = (np.searchsorted(other[by_id], ids, side=side) for side in ("left", "right"))
     for lo in range(0, n, block):
         s = queries[lo : lo + block] @ x.T
-        own = np.flatnonzero(np.isin(ids[lo : lo + block], other))
-        for r in own:
-            s[r, other == ids[lo + r]] = -np.inf
+        f, times = first[lo : lo + block], (last - first)[lo : lo + block]
+        own = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - f, times)
+        s[np.repeat(np.arange(len(f)), times), by_id[own]] = -np.inf
         if m > k:
             least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
             row, col = np.nonzero(s >= least[:, None])  # all that tie with the k-th
@@ -107,17 +116,28 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
 
 @dataclass
 class Router:
-    """The classifier: probabilities of all parts for unit vectors."""
+    """The classifier: probabilities of all parts for unit vectors; ``rows`` has about how many vectors each part gets."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    rows: np.ndarray | None = None
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.__dict__)
+        return out.getvalue()
+
+    @staticmethod
+    def from_bytes(raw: bytes) -> Router:
+        with np.load(io.BytesIO(raw)) as f:
+            return Router(**f)
 
 
 def fit_router(x: np.ndarray, share: np.ndarray, steps: int = STEPS, seed: int = 3) -> Router:
@@ -142,21 +162,12 @@ def fit_router(x: np.ndarray, share: np.ndarray, steps: int = STEPS, seed: int =
     return Router(*p)
 
 
-def probes(probability: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, part): the most probable parts of each row until they sum to ``threshold``, at least one; above 1, all parts."""
-    order = np.argsort(-probability, axis=1, kind="stable")
-    sums = np.cumsum(np.take_along_axis(probability, order, axis=1), axis=1)
-    before = np.concatenate([np.zeros((len(sums), 1)), sums[:, :-1]], axis=1)
-    row, turn = np.nonzero((before < threshold) | (threshold > 1))
-    return row, order[row, turn]
-
-
-def _usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, v): rows with an id and a finite vector that isn't zero."""
+def _usable(vectors: DataFrame, id_col: str, vector: str, queries: Column | None) -> DataFrame:
+    """(id, v, query): rows with an id and a finite vector that isn't zero."""
     v = F.col(vector).cast("array<float>")
     norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), norm.alias("norm"))
-    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.col("norm") > 0) & ~F.isnan("norm") & (F.col("norm") < float("inf"))).select("id", "v")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), norm.alias("norm"), (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("query"))
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.col("norm") > 0) & ~F.isnan("norm") & (F.col("norm") < float("inf"))).select("id", "v", "query")
 
 
 def _true_neighbours(rows: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
@@ -186,88 +197,184 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return each.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def learn(rows: DataFrame, total: int, k: int, part_rows: int, sample: int, recall: float) -> tuple[Router, float, int]:
-    """(router, threshold, parts) for ``rows`` (id, v); the sample is the ``sample`` rows of smallest hashed id, a few of which are held out."""
-    table = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample + HELD_OUT).toArrow()
-    ids, first = np.unique(table["id"].to_numpy(), return_index=True)
-    x = normalised(table["v"].combine_chunks())[first]
-    held = np.random.default_rng(1).permutation(len(ids))[: min(HELD_OUT, max(1, len(ids) // 5))]
-    rest = np.setdiff1d(np.arange(len(ids)), held)
-    parts = int(np.clip(round(total / part_rows), 1, max(1, len(rest) // 32)))
-    if parts == 1:
-        dim = x.shape[1]
-        return Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)), 2.0, 1
-    place = np.arange(len(rest))
-    graph, _ = exact(x[rest], place, x[rest], place, GRAPH_K)
-    part = balanced_parts(x[rest], graph, parts)
-    share = np.zeros((len(rest), parts), np.float32)
+def fit_node(x: np.ndarray, rows: int, part_rows: int) -> Router | None:
+    """A router for a node of ``rows`` vectors, from a sample of them; None if it cannot be partitioned, being too small or all alike."""
+    every, x = x, np.unique(x, axis=0)
+    parts = min(round(rows / part_rows), len(x) // 32, FAN)
+    if parts < 2:
+        return None
+    place = np.arange(len(x))
+    graph, _ = exact(x, place, x, place, GRAPH_K)
+    part = balanced_parts(x, graph, parts)
+    share = np.zeros((len(x), parts), np.float32)
     r, c = np.nonzero(graph >= 0)
     np.add.at(share, (r, part[graph[r, c]]), 1)
     share[place, part] += 1
     share /= share.sum(axis=1, keepdims=True)
-    router = fit_router(x[rest], share)
-    true = _true_neighbours(rows, ids[held], x[held], k)
-    wanted = rows.where(F.col("id").isin([int(i) for i in np.unique(true[true >= 0])])).toArrow()  # at most HELD_OUT * k ids
-    homes: dict[int, set[int]] = {}
-    for i, h in zip(wanted["id"].to_pylist(), router.probabilities(normalised(wanted["v"].combine_chunks())).argmax(axis=1).tolist()):
-        homes.setdefault(i, set()).add(h)
-    p = router.probabilities(x[held])
-    for threshold in (0.3, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99, 0.995, 0.998, 0.999, 0.9995, 0.9999):
-        row, to = probes(p, threshold)
-        asked = set(zip(row.tolist(), to.tolist()))
-        hits = [any((q, h) in asked for h in homes.get(n, ())) for q in range(len(held)) for n in true[q].tolist() if n >= 0]
-        if hits and np.mean(hits) >= recall:
-            return router, threshold, parts
-    return router, 2.0, parts  # nothing less than all parts will do
-
-
-def _route(router: Router, threshold: float, tiles: dict[int, int]):
-    """Every vector once as a candidate of its home, in one tile of it, and as a query of all tiles of its parts."""
+    router = fit_router(x, share)
+    home = router.log_probabilities(every).argmax(axis=1)
+    router.rows = np.bincount(home, minlength=parts) * (rows / len(every))
+    return router
+
+
+def _train(part_rows: int, most: int):
+    """Rows (node, n, v) come sorted by node; a node's sample is held, ``most`` rows at most."""
 
     def run(batches):
-        count = np.ones(int(router.b2.shape[0]), np.int64)
-        for h, n in tiles.items():
-            count[h] = n
+        now, size, held, count = None, 0, [], 0
+
+        def made():
+            router = fit_node(np.concatenate(held), size, part_rows)
+            if router:
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([router.to_bytes()], pa.binary())], names=["node", "router"])
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 8192):
-                some = batch.slice(lo, 8192)
-                p = router.probabilities(normalised(some.column("v")))
-                home = p.argmax(axis=1)
-                ids = some.column("id").to_numpy()
-                own = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % count[home]
-                row, part = probes(p, threshold)
-                times = count[part]
-                row, part = np.repeat(row, times), np.repeat(part, times)
-                tile = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                at = np.concatenate([np.arange(len(ids)), row])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column("id").take(pa.array(at)),
-                        some.column("v").take(pa.array(at)),
-                        pa.array(np.concatenate([home, part]).astype(np.int32)),
-                        pa.array(np.concatenate([own, tile]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(len(ids)), np.ones(len(row))]).astype(np.int32)),
-                    ],
-                    names=["id", "v", "part", "tile", "query"],
-                )
+            node, n = (batch.column(c).to_numpy() for c in ("node", "n"))
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if a == b:
+                    continue
+                if node[a] != now:
+                    if held:
+                        yield from made()
+                    now, size, held, count = int(node[a]), int(n[a]), [], 0
+                if count < most:
+                    held.append(normalised(batch.column("v").slice(a, min(b - a, most - count))))
+                    count += len(held[-1])
+        if held:
+            yield from made()
 
     return run
 
 
+def _move(batch: pa.RecordBatch, at: np.ndarray, node: np.ndarray, lp: np.ndarray) -> pa.RecordBatch:
+    take = pa.array(at)
+    columns = [batch.column("id").take(take), batch.column("v").take(take), pa.array(node), pa.array(lp.astype(np.float64)), batch.column("goal").take(take)]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "v", "node", "lp", "goal"])
+
+
+def _home(router: Router, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each vector goes to its most probable part."""
+    home = router.log_probabilities(normalised(batch.column("v"))).argmax(axis=1)
+    return _move(batch, np.arange(len(home)), batch.column("node").to_numpy() * FAN + home, batch.column("lp").to_numpy())
+
+
+def _spread(cutoff: float, least: int):
+    """Each query goes to all parts that are probable enough, and to the most probable ones until they have ``least`` rows."""
+
+    def run(router: Router, batch: pa.RecordBatch) -> pa.RecordBatch:
+        p = router.log_probabilities(normalised(batch.column("v"))) + batch.column("lp").to_numpy()[:, None]
+        order = np.argsort(-p, axis=1, kind="stable")
+        before = np.cumsum(router.rows[order], axis=1) - router.rows[order]
+        asked = p >= cutoff
+        np.put_along_axis(asked, order, np.take_along_axis(asked, order, axis=1) | (before < least), axis=1)
+        row, part = np.nonzero(asked)
+        return _move(batch, row, batch.column("node").to_numpy()[row] * FAN + part, p[row, part])
+
+    return run
+
+
+def _follow(level: int):
+    """Each query goes the way that its goal went."""
+
+    def run(router: Router, batch: pa.RecordBatch) -> pa.RecordBatch:
+        goal = batch.column("goal").to_numpy()
+        depth = np.floor(np.log2(goal) / np.log2(FAN) + 1e-9).astype(np.int64)
+        child = goal // FAN ** (depth - level - 1)
+        p = router.log_probabilities(normalised(batch.column("v")))[np.arange(len(goal)), child % FAN]
+        return _move(batch, np.arange(len(goal)), child, batch.column("lp").to_numpy() + p)
+
+    return run
+
+
+def _pieces(batch: pa.RecordBatch, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(lo, rows) for lo in range(0, batch.num_rows, rows))
+
+
+def _down(rows: DataFrame, level: int, routers: DataFrame, step: Callable[[Router, pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``rows`` (PLACED) one level deeper; those whose node has no router stay.
+
+    The root's router, of bounded size, goes to all tasks.  Deeper ones meet their
+    rows in a shuffle; a node of many rows is met in several tasks, and its router
+    goes to each of them.
+    """
+    if level == 0:
+        root = Router.from_bytes(routers.first()["router"])
+
+        def run(batches):
+            for batch in batches:
+                for some in _pieces(batch):
+                    yield step(root, some)
+
+        return rows.mapInArrow(run, PLACED)
+    sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).join(routers, "node")
+    routed = rows.join(sizes.select("node", "tiles"), "node").withColumn("tile", F.pmod(F.xxhash64("id", "v"), F.col("tiles")).cast("int"))
+    with_rows = routed.select(*[c.split()[0] for c in PLACED.split(", ")], "tile", F.lit(None).cast("binary").alias("router"))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("id", "long"), ("v", "array<float>"))]
+    heads = sizes.select(*nothing, "node", F.lit(0.0).alias("lp"), F.lit(None).cast("long").alias("goal"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "router")
+
+    def run_sorted(batches):
+        router = None
+        for batch in batches:
+            raw = batch.column("router")
+            heads_at = np.flatnonzero(np.asarray(raw.is_valid()))
+            edge = np.concatenate([[0], heads_at, [batch.num_rows]])
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if a in heads_at:
+                    router, a = Router.from_bytes(raw[a].as_py()), a + 1
+                for some in _pieces(batch.slice(a, b - a)):
+                    yield step(router, some)
+
+    both = with_rows.union(heads).repartition("node", "tile").sortWithinPartitions("node", "tile", F.col("router").isNull())
+    return both.mapInArrow(run_sorted, PLACED).union(rows.join(routers.select("node"), "node", "left_anti").select(*[c.split()[0] for c in PLACED.split(", ")]))
+
+
+def build(rows: DataFrame, held: list[int], part_rows: int, sample: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(``rows`` with their leaves, the routers (node, router) of each level of the tree)."""
+    placed = rows.select("id", "v", F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("lp"), F.lit(None).cast("long").alias("goal"))
+    levels: list[DataFrame] = []
+    while FAN ** (len(levels) + 1) < 1 << 62:
+        level = len(levels)
+        # the nodes that the last level made: those that it could not split stay as they are
+        large = placed.where(F.col("node") >= FAN**level).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= 1.5 * part_rows)
+        some = placed.join(large, "node").where((F.pmod(F.xxhash64("id", "v"), F.col("n")) < sample) & ~F.col("id").isin(held))
+        routers = cut(some.select("node", "n", "v", F.xxhash64("id", "v").alias("h")).repartition("node").sortWithinPartitions("node", "h").drop("h").mapInArrow(_train(part_rows, 2 * sample), "node long, router binary"))
+        if routers.isEmpty():
+            break
+        placed = cut(_down(placed, level, routers, _home))
+        levels.append(routers)
+    return placed, levels
+
+
+def cutoff_of(rows: DataFrame, placed: DataFrame, levels: list[DataFrame], ids: np.ndarray, x: np.ndarray, k: int, recall: float) -> float:
+    """The largest log-probability that still lets the held-out queries reach ``recall`` of their exact neighbours."""
+    true = _true_neighbours(rows, ids, x, k)
+    q, _ = np.nonzero(true >= 0)
+    pairs = [(n, int(t)) for n, t in enumerate(true[true >= 0].tolist())]  # at most HELD_OUT * k
+    spark = rows.sparkSession
+    vectors = spark.createDataFrame([(n, x[q[n]].tolist(), t) for n, t in pairs], "id long, v array<float>, t long")
+    homes = placed.where(F.col("id").isin([t for _, t in pairs])).select(F.col("id").alias("t"), F.col("node").alias("goal")).distinct()
+    asked = vectors.join(homes, "t").select("id", "v", F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("lp"), "goal")
+    for level, routers in enumerate(levels):
+        asked = _down(asked, level, routers, _follow(level))
+    best = sorted((r["lp"] for r in asked.groupBy("id").agg(F.max("lp").alias("lp")).collect()), reverse=True)
+    return best[int(np.ceil(recall * len(best))) - 1] - 1e-6 if best else 0.0
+
+
 def _rerank(k: int):
-    """Rows come sorted by (part, tile), candidates before queries; queries go by batch, only a tile's candidates are held."""
+    """Rows come sorted by (node, tile), candidates before queries; queries go by batch, only a tile's candidates are held."""
 
     def run(batches):
         key, ids, vectors, ready = None, [], [], None
         for batch in batches:
-            part, tile, query = (batch.column(c).to_numpy().astype(np.int64) for c in ("part", "tile", "query"))
-            both = np.stack([part, tile, query])
+            node, tile, query = (batch.column(c).to_numpy().astype(np.int64) for c in ("node", "tile", "query"))
+            both = np.stack([node, tile, query])
             edge = np.concatenate([[0], np.flatnonzero((both[:, 1:] != both[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 if a == b:
                     continue
                 own, x = batch.column("id").slice(a, b - a).to_numpy(), normalised(batch.column("v").slice(a, b - a))
-                if (now := (part[a], tile[a])) != key:
+                if (now := (node[a], tile[a])) != key:
                     key, ids, vectors, ready = now, [], [], None
                 if not query[a]:
                     ids.append(own)
@@ -281,21 +388,24 @@ def _rerank(k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector: str = "embedding", part_rows: int = PART_ROWS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
-    """(id, neighbour, rank, similarity): the ``k`` vectors of largest cosine found for every vector, ranks from 1.
+def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector: str = "embedding", queries: Column | None = None, part_rows: int = PART_ROWS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+    """(id, neighbour, rank, similarity): the ``k`` vectors of largest cosine found for every query, ranks from 1.
 
-    A row needs an id and a finite vector that isn't zero; other rows neither have
-    nor are neighbours.  Vectors are compared with those of their own length, which
-    have a router of their own.  Equal similarities are ordered by id.  Of several rows under one id each is a candidate and a query,
-    the pair keeps the largest similarity, and an id is no neighbour of itself.
-    With fewer than k other ids, all are returned; an empty table gives an empty
-    result; other columns are ignored.
+    ``queries`` is a condition on the rows; without one every row is a query.  All
+    rows are searched.  A row needs an id and a finite vector that isn't zero; other
+    rows neither have nor are neighbours.  Vectors are compared with those of their
+    own length, which have a tree of their own.  Equal similarities are ordered by
+    id.  Of several rows under one id each is a candidate and, if it meets the
+    condition, a query; the pair keeps the largest similarity, and an id is no
+    neighbour of itself.  With fewer than k other ids in the parts that are asked,
+    fewer are returned; an empty table gives an empty result; other columns are
+    ignored.
 
     A part of more than ``TILE`` candidates (copies of one vector cannot be told
     apart by any router) is split into tiles, and its queries go to each of them.
     """
     spark = vectors.sparkSession
-    rows = cut(_usable(vectors, id_col, vector))
+    rows = cut(_usable(vectors, id_col, vector, queries))
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()  # a row a length
     if not lengths:
         return spark.createDataFrame([], "id long, neighbour long, rank int, similarity double")
@@ -304,17 +414,16 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector: s
 
 
 def _found(rows: DataFrame, total: int, k: int, part_rows: int, sample: int, recall: float) -> DataFrame:
-    """What the search finds in ``rows`` (id, v), whose vectors are of one length."""
-    router, threshold, parts = learn(rows, total, k, part_rows, sample, recall)
-
-    def home(batches):
-        for batch in batches:
-            if batch.num_rows:
-                h = router.probabilities(normalised(batch.column("v"))).argmax(axis=1)
-                values, counts = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), pa.array(counts)], names=["part", "n"])
-
-    sizes = rows.mapInArrow(home, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > TILE).collect()
-    tiles = {r["part"]: -(-r["n"] // TILE) for r in sizes}
-    routed = rows.mapInArrow(_route(router, threshold, tiles), "id long, v array<float>, part int, tile int, query int")
-    return routed.repartition("part", "tile").sortWithinPartitions("part", "tile", "query").mapInArrow(_rerank(k), FOUND)
+    """What the search finds in ``rows`` (id, v, query), whose vectors are of one length."""
+    held = rows.orderBy(F.xxhash64("id", F.lit(1)), "id", "v").limit(min(HELD_OUT, max(1, total // 5))).toArrow()
+    ids, first = np.unique(held["id"].to_numpy(), return_index=True)
+    placed, levels = build(rows, ids.tolist(), part_rows, sample)
+    asked = rows.where("query").select("id", "v", F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("lp"), F.lit(None).cast("long").alias("goal"))
+    if levels:
+        cutoff = cutoff_of(rows, placed, levels, ids, normalised(held["v"].combine_chunks())[first], k, recall)
+        for level, routers in enumerate(levels):
+            asked = _down(asked, level, routers, _spread(cutoff, 8 * k))
+    sizes = placed.groupBy("node").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    stored = placed.select("id", "v", "node").join(sizes, "node").select("id", "v", "node", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"), F.lit(0).alias("query"))
+    sent = asked.select("id", "v", "node").join(sizes, "node").select("id", "v", "node", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("query"))
+    return stored.union(sent).repartition("node", "tile").sortWithinPartitions("node", "tile", "query").mapInArrow(_rerank(k), FOUND)

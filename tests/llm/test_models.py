@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorewell.llm import dom, extract, language_model, neighbours, personal, quality, spans, tagger, trees
+from lorewell.llm import dom, extract, language_model, neighbours, personal, quality, queries, spans, tagger, trees
 from lorewell.llm.bytetext import utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,8 +71,9 @@ def test_language_model_of_odd_tables(spark):
 def test_automaton_takes_failure_arcs():
     texts = ["a b c a b d", "a b c", "c c c b a"]
     g = language_model.Group(pa.array(texts))
-    triple = np.zeros(len(g.seq), np.int64)
-    a = language_model.Automaton(g, g.times, triple, 2, 0.75, 10, 5)  # no triple is kept, and only pairs that occur twice
+    none = np.zeros(0, np.int64)
+    count = language_model.tally(language_model.short_keys(g.seq, g.first)[0])[1]
+    a = language_model.Automaton(g, count, none, none, 2, 0.75, 10, 5)  # no triple is kept, and only pairs that occur twice
     a.back[:-1] = -np.arange(1, a.root + 1)
     one = a.traverse(lanes=1)
     assert np.array_equal(one, a.traverse(lanes=3)) and (one[g.seq == language_model.START] == 0).all()
@@ -326,20 +327,61 @@ def test_parts_are_balanced_and_cut_few_edges():
     assert np.bincount(part, minlength=8).max() <= 110 and (part[graph] == part[:, None]).mean() > 0.8
 
 
-def test_recall(spark, monkeypatch):
+def some_vectors(rng, groups, each, dim=32):
+    near = np.repeat(rng.normal(0, 1, (groups, dim)), each, axis=0) + rng.normal(0, 0.3, (groups * each, dim))
+    return np.concatenate([near, np.repeat(rng.normal(0, 1, (1, dim)), 500, axis=0), rng.normal(0, 1, (500, dim))]).astype(np.float32)
+
+
+def share_found(got, x):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0.0
+    for i, own in got.groupby("id"):
+        s = unit @ unit[i]
+        s[i] = -9
+        tenth = np.partition(-s, 9)[9]
+        hits += (s[own.neighbour.to_numpy()] >= -tenth - 1e-5).mean()  # any of those that tie will do
+    return hits / got.id.nunique()
+
+
+@pytest.mark.parametrize("sample", [2000, 300])
+def test_recall(spark, monkeypatch, sample):
     monkeypatch.setattr(neighbours, "TILE", 300)
     rng = np.random.default_rng(11)
-    x = np.concatenate([np.repeat(rng.normal(0, 1, (30, 32)), 100, axis=0) + rng.normal(0, 0.3, (3000, 32)), np.repeat(rng.normal(0, 1, (1, 32)), 500, axis=0), rng.normal(0, 1, (500, 32))]).astype(np.float32)
+    x = some_vectors(rng, 30, 100)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 32), (9002, [1.0]), (None, x[0].tolist()), (9003, [float("nan")] * 32), (5, x[5].tolist())]
-    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as part", "2 as query", "3 as id")
-    got = neighbours.neighbours(t, part_rows=300, sample=2000).toPandas()
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as node", "2 as query", "3 as id", "4 as router", "5 as tile")
+    got = neighbours.neighbours(t, part_rows=60, sample=sample).toPandas()
     assert set(got.id) == set(range(4000)) and (got.groupby("id").size() == 10).all() and (got.id != got.neighbour).all()
+    assert share_found(got, x) >= 0.9
+
+
+def test_parts_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE", 400)
+    x = some_vectors(np.random.default_rng(12), 60, 100)
+    rows = neighbours._usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, e array<float>"), "i", "e", None)
+    placed, levels = neighbours.build(rows.select("id", "v"), [], 40, 320)
+    sizes = placed.groupBy("node").count().toPandas()
+    assert len(levels) >= 2 and sizes["count"].sum() == len(x) and len(sizes) > 60
+    large = set(sizes.node[sizes["count"] > 300])
+    assert len(large) <= 1  # the copies, which nothing can tell apart
+    got = neighbours.neighbours(rows, id_col="id", vector="v", queries=rows["id"] % 10 == 0, part_rows=40, sample=320).toPandas()
+    assert set(got.id) == set(range(0, len(x), 10)) and share_found(got, x) >= 0.9
+
+
+def test_query_of_the_table_against_brute_force(spark):
+    base = "/root/testdata/sf0.1"
+    got = queries.op6_nearest_neighbours(spark, base).toPandas()
+    t = spark.read.parquet(f"{base}/embeddings.parquet").orderBy("vec_id").toPandas()
+    ids = t.vec_id.to_numpy()
+    asked = ids[ids % 50 == 0]
+    assert set(got.id) == set(asked) and (got.groupby("id").size() == 10).all()
+    x = np.stack(t.embedding.to_numpy())
+    place = {v: n for n, v in enumerate(ids.tolist())}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = unit @ unit.T
-    np.fill_diagonal(s, -9)
-    tenth = np.sort(s, axis=1)[:, -10]
-    hits = s[got.id, got.neighbour] >= tenth[got.id] - 1e-5  # any of those that tie will do
-    assert hits.mean() >= 0.9
+    for r in got.itertuples():
+        assert r.similarity == pytest.approx(float(unit[place[r.id]] @ unit[place[r.neighbour]]), abs=1e-5)
+    got["id"], got["neighbour"] = got.id.map(place), got.neighbour.map(place)
+    assert share_found(got, x) >= 0.9
 
 
 def test_few_vectors(spark):
