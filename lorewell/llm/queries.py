@@ -12,7 +12,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that a near-duplicate of smaller doc_id replaces, and the one that stays."""
+    """Every document that has near-duplicates, its class and the number of its links."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 

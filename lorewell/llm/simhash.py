@@ -30,6 +30,7 @@ RADIUS = 64
 RUN = 4
 BLOCKINGS = 8
 TILE = 4096
+_HELD = 60_000
 _LANES = BITS // 64
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64))
 SIGNED = "doc_id long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
@@ -139,18 +140,17 @@ def planes(sig: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
 
-def within(sig: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of rows at most ``radius`` bits apart, j from begin[i] to end[i] - 1."""
+def within(sig: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int, chunk: int = 1 << 14):
+    """Pairs (i, j), i < j, of rows at most ``radius`` bits apart, j from begin[i] to end[i] - 1: two arrays at a time, of at most 64 * ``chunk`` pairs."""
     n, every = len(sig), ~np.uint64(0)
     begin = np.maximum(begin, np.arange(n) + 1)
     if not n or not (end > begin).any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     plane = planes(sig)
     query = np.unpackbits(sig.view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
     some = np.flatnonzero(end > begin)
     low, high = begin[some] >> 6, (end[some] - 1) >> 6
     tasks = np.concatenate([[0], np.cumsum(high - low + 1)])
-    found_i, found_j = [], []
     for start in range(0, int(tasks[-1]), chunk):
         t = np.arange(start, min(start + chunk, int(tasks[-1])))
         row = np.searchsorted(tasks, t, side="right") - 1
@@ -184,30 +184,27 @@ def within(sig: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int, chu
         if len(lanes):
             hit = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             at, bit = np.nonzero(hit)
-            found_i.append(q[at])
-            found_j.append(w[at] * 64 + bit)
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield q[at], w[at] * 64 + bit
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Which of the edges make a spanning forest: the same components, at most n - 1 edges."""
-    root, keep = list(range(n)), np.zeros(len(i), bool)
-    for e, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        while root[a] != a:
-            root[a] = a = root[root[a]]
-        while root[b] != b:
-            root[b] = b = root[root[b]]
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            keep[e] = True
-    return keep
+def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each the smallest place of its component) after the pairs (i, j) are joined."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def _match(radius: int):
     """Rows come sorted by block; a row of side 0 is compared with the later rows of its block, or with side 1 only in a block of two tiles."""
 
     def run(batches):
-        def close(rows: dict[str, np.ndarray]):
+        def close(rows: dict[str, np.ndarray], keys: np.ndarray):
             key = np.stack([rows["key"], rows["tile"]])
             change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             first, last = np.concatenate([[0], change]), np.concatenate([change, [len(rows["key"])]])
@@ -218,11 +215,25 @@ def _match(radius: int):
             begin = np.repeat(begin, size)
             end = np.where((rows["side"] == 1), 0, end)
             sig = np.stack([rows[f"s{k}"] for k in range(_LANES)], axis=1).view(np.uint64)
-            i, j = within(np.ascontiguousarray(sig), begin, end, radius)
-            a, b = rows["rep"][i], rows["rep"][j]
-            ids, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-            keep = _forest(back[: len(a)], back[len(a) :], len(ids))
-            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            rep, n, turn = rows["rep"], rows["n"].astype(np.float64), rows["turn"]
+            label, links = np.arange(len(rep)), np.zeros(len(rep))
+            for i, j in within(np.ascontiguousarray(sig), begin, end, radius):
+                label = _merge(label, i, j)
+                new = rep[i] != rep[j]  # a pair counts in the first of its blocks only
+                for k in range(keys.shape[1] - 1):
+                    new &= (keys[i, k] != keys[j, k]) | (k >= turn[i])
+                i, j = i[new], j[new]
+                links += np.bincount(i, n[j], len(rep)) + np.bincount(j, n[i], len(rep))
+            linked, some = np.flatnonzero(label != np.arange(len(rep))), np.flatnonzero(links)
+            a = np.concatenate([rep[linked], rep[some]])
+            b = pa.concat_arrays([pa.array(rep[label[linked]]), pa.nulls(len(some), pa.int64())])
+            count = np.concatenate([np.zeros(len(linked)), links[some]]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(count)], names=["a", "b", "links"])
+
+        def columns(table: pa.Table):
+            keys = table["keys"].combine_chunks()
+            keys = keys.flatten().to_numpy().reshape(len(table), -1)
+            return {c: table[c].to_numpy() for c in table.column_names if c != "keys"}, keys
 
         held: list[pa.RecordBatch] = []
         count = 0
@@ -231,54 +242,60 @@ def _match(radius: int):
                 continue
             held.append(batch)
             count += batch.num_rows
-            if count < 150_000:
+            if count < _HELD:
                 continue
             table = pa.Table.from_batches(held)
-            rows = {c: table[c].to_numpy() for c in table.column_names}
+            rows, keys = columns(table)
             same = (rows["key"] == rows["key"][-1]) & (rows["tile"] == rows["tile"][-1])
             cutoff = int(np.argmax(same))  # the last block may go on
             if cutoff:
-                yield close({c: v[:cutoff] for c, v in rows.items()})
+                yield close({c: v[:cutoff] for c, v in rows.items()}, keys[:cutoff])
                 rest = table.slice(cutoff).combine_chunks().to_batches()
                 held, count = list(rest), len(same) - cutoff
         if held:
-            table = pa.Table.from_batches(held)
-            yield close({c: table[c].to_numpy() for c in table.column_names})
+            yield close(*columns(pa.Table.from_batches(held)))
 
     return run
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, duplicate_of): every document that goes, and the one of its group that stays, which has the smallest doc_id.
-
-    A group is a connected component of documents whose signatures are at most
-    ``radius`` bits apart.  Documents with a null doc_id, a null or empty text or
-    no word have no signature and are in no group.  A doc_id on several rows
-    counts as one document whose rows all stay or go together.  An empty table
-    gives an empty result; other columns are ignored.
-
-    Equal signatures are grouped first, so that thousands of copies cost one
-    comparison.  A block of more than ``TILE`` signatures is split into tiles
-    that are compared pairwise in separate tasks: nothing is left out, and no
-    task holds a whole hot block.
+    """(doc_id, class_id, links): every document that has a near-duplicate, its class and how many near-duplicates it has.
+
+    A link is a pair of documents whose signatures are at most ``radius`` bits apart
+    and that share a block; a class is a connected component of links, named by its
+    smallest doc_id.  A document without links is a class by itself and has no row.
+    Documents with a null doc_id, a null or empty text or no word have no signature
+    and are in no class.  A doc_id on several rows counts as one document, whose
+    texts are in one class and whose links add up.  An empty table gives an empty
+    result; other columns are ignored.
+
+    Documents of equal signature and equal blocks are compared as one, so that
+    thousands of copies cost one comparison; their links count nevertheless.  A
+    block of more than ``TILE`` of these is split into tiles that are compared
+    pairwise in separate tasks: nothing is left out, and no task holds a whole hot
+    block.  Pairs are counted where they are found, and leave a task only as sums
+    and as a forest.
     """
-    spark = docs.sparkSession
-    signed = cut(signatures(docs))
+    signed = cut(signatures(docs).distinct())
     sig = [f"s{k}" for k in range(_LANES)]
-    groups = signed.groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
-    rows = groups.select("rep", *sig, F.explode("keys").alias("key")).distinct()
+    groups = signed.groupBy(*sig, "keys").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    rows = groups.withColumn("keys", F.concat("keys", F.array(F.xxhash64(*sig))))
+    rows = rows.select("rep", "n", *sig, "keys", F.posexplode("keys").alias("turn", "key"))
     sizes = rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep", *sig), F.col("tiles")).cast("int"))
     other = F.sequence(F.lit(0), F.col("tiles") - 1)
     # tile = smaller * tiles + larger; side 1: the larger of two different tiles
     placed = rows.withColumn("o", F.explode(other)).select(
-        "rep", *sig, "key", (F.least("own", "o").cast("long") * F.col("tiles") + F.greatest("own", "o")).alias("tile"), F.expr("cast(own > o as int)").alias("side")
+        "rep", "n", "turn", *sig, "keys", "key", (F.least("own", "o").cast("long") * F.col("tiles") + F.greatest("own", "o")).alias("tile"), F.expr("cast(own > o as int)").alias("side")
     )
     sorted_rows = placed.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "rep")
-    edges = sorted_rows.mapInArrow(_match(radius), "a long, b long")
-    same = signed.join(groups.select(*sig, "rep"), sig).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = connected_components(edges.union(same).distinct())
-    return found.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("duplicate_of"))
+    found = cut(sorted_rows.mapInArrow(_match(radius), "a long, b long, links long"))
+    members = cut(signed.join(groups, [*sig, "keys"]).select("doc_id", "rep", "n"))
+    edges = found.where("b is not null and a <> b").select("a", "b").union(members.where("doc_id <> rep").select("rep", "doc_id"))
+    classes = connected_components(edges.distinct())
+    outer = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    links = members.join(outer, "rep", "left").groupBy("doc_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"))
+    return classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")).join(links, "doc_id")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -291,8 +308,8 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the documents that ``near_duplicates`` lists; rows without signature or doc_id stay."""
-    return without(docs, near_duplicates(docs, radius))
+    """``docs`` with one document of each class, that of smallest doc_id; rows without signature or doc_id stay."""
+    return without(docs, near_duplicates(docs, radius).where("doc_id <> class_id"))
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -319,8 +336,7 @@ def drop_near_duplicate_rows(docs: DataFrame, radius: int = RADIUS) -> DataFrame
     """
     rows, key = numbered(docs)
     found = cut(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), radius))
-    group = found.select(F.col("doc_id").alias("row"), F.col("duplicate_of").alias("group"))
-    group = group.union(found.select("duplicate_of", "duplicate_of").distinct())
+    group = found.select(F.col("doc_id").alias("row"), F.col("class_id").alias("group"))
     named = group.join(rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id")), "row")
     stays = named.groupBy("group").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "row")).alias("first")).select("first.row")
     return without_rows(rows, key, group.join(stays, "row", "left_anti").select(F.col("row").alias("doc_id"))).select(*docs.columns)

@@ -1,4 +1,8 @@
+import os
 import random
+import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +26,18 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
 
 
+def pairs_within(sig, radius):
+    found = list(simhash.within(np.ascontiguousarray(sig), np.zeros(len(sig), np.int64), np.full(len(sig), len(sig)), radius, chunk=64))
+    return tuple(np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+
+
 def test_within_against_all_pairs():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
     sig = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 63, (40, 4)).astype(np.uint64)), rng.integers(0, 1 << 63, (120, 4), dtype=np.uint64)])
     bits = np.unpackbits(sig.view(np.uint8).reshape(len(sig), -1), axis=1)
     for radius in (0, 3, 4, 64, 100, 118):
-        i, j = simhash.within(sig, np.zeros(len(sig), np.int64), np.full(len(sig), len(sig)), radius)
+        i, j = pairs_within(sig, radius)
         want = {(a, b) for a in range(len(sig)) for b in range(a + 1, len(sig)) if (bits[a] != bits[b]).sum() <= radius}
         assert set(zip(i.tolist(), j.tolist())) == want
 
@@ -45,7 +54,9 @@ def test_copies_go_and_others_stay(spark):
     first = len(rows)
     rows += [(first + k, hot) for k in range(3000)]
     rows += [(None, hot), (90001, None), (90002, ""), (90003, "..."), (90004, None)]
-    got = {r.doc_id: r.duplicate_of for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    listed = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert all(r.links >= 1 for r in listed.values()) and all(listed[first + i].links == 2999 for i in range(3000))
+    got = {i: r.class_id for i, r in listed.items() if r.class_id != i}
     for own in groups.values():
         for i in own[1:]:
             assert rows[i][1] != rows[own[0]][1] or got[i] == own[0]
@@ -61,7 +72,7 @@ def test_recall_against_all_pairs(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     s = simhash.signatures(d).toPandas()
     sig = s[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64)
-    i, j = simhash.within(np.ascontiguousarray(sig), np.zeros(len(sig), np.int64), np.full(len(sig), len(sig)), simhash.RADIUS)
+    i, j = pairs_within(sig, simhash.RADIUS)
     ids = s["doc_id"].to_numpy()
     parent = {int(x): int(x) for x in ids}
 
@@ -74,8 +85,71 @@ def test_recall_against_all_pairs(spark):
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
     want = {x: root(x) for x in parent if root(x) != x}
-    got = {r.doc_id: r.duplicate_of for r in simhash.near_duplicates(d).collect()}
+    listed = simhash.near_duplicates(d).collect()
+    got = {r.doc_id: r.class_id for r in listed if r.class_id != r.doc_id}
     assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    # links: pairs that share a block, or the signature
+    keys, links = np.stack(s["keys"].to_numpy()), dict.fromkeys(ids.tolist(), 0)
+    for a, b in zip(i.tolist(), j.tolist()):
+        if (keys[a] == keys[b]).any() or (sig[a] == sig[b]).all():
+            links[ids[a]], links[ids[b]] = links[ids[a]] + 1, links[ids[b]] + 1
+    assert {r.doc_id: r.links for r in listed} == {k: n for k, n in links.items() if n}
+
+
+def test_signatures_against_definition(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, n) for n in (1, 2, 3, 9, 120)] + ["one two one two one two", "é É x"]
+    got = {r.doc_id: r for r in simhash.signatures(docs(spark, list(enumerate(texts)))).collect()}
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    def word(w):
+        b = w.encode()
+        return mix((len(b) + sum(c * 256 ** (i % 8) * pow(0x9E3779B97F4A7C15, i // 8 + 1, 1 << 64) for i, c in enumerate(b))) & m)
+
+    def run(ws):
+        acc = 0
+        for w in ws:
+            acc = (acc * 0x9E3779B97F4A7C15 + w) & m
+        return mix(acc)
+
+    for d, text in enumerate(texts):
+        ws = [word(w) for w in re.findall(r"[0-9a-z\x80-\U0010FFFF]+", text.lower())]
+        feats = {run(ws[i : i + 2]) for i in range(len(ws) - 1)} if len(ws) > 1 else set(ws)
+        for lane in range(4):
+            own = [f if lane == 0 else mix((f + mix(lane + 1)) & m) for f in feats]
+            sig = sum((2 * sum(f >> b & 1 for f in own) > len(own)) << b for b in range(64))
+            assert got[d][f"s{lane}"] & m == sig
+        runs = [run(ws[i : i + 4]) for i in range(len(ws) - 3)] or [mix(sum(ws) & m)]
+        assert [k & m for k in got[d].keys] == [mix(min(mix(r ^ mix(9 + j)) for r in runs) + mix(33 + j) & m) for j in range(8)]
+
+
+def test_many_close_signatures_in_little_memory():
+    code = """
+import resource, numpy as np, pyarrow as pa
+from lorewell.llm import simhash
+rng = np.random.default_rng(0)
+base, n = rng.integers(0, 1 << 63, 4, dtype=np.uint64), 20_000
+sig = np.repeat(base[None], n, axis=0) ^ (np.uint64(1) << rng.integers(0, 63, (n, 4)).astype(np.uint64))
+keys = pa.ListArray.from_arrays(np.arange(0, 9 * n + 1, 9, dtype=np.int32), pa.array(np.full(9 * n, 5)))
+side = np.zeros(n, np.int32)
+cols = {"rep": np.arange(n), "n": np.ones(n, np.int64), "turn": np.zeros(n, np.int32), **{f"s{k}": sig[:, k].view(np.int64) for k in range(4)}, "key": np.full(n, 5), "tile": np.arange(n) // 4096, "side": side}
+batch = pa.RecordBatch.from_arrays([*map(pa.array, cols.values()), keys], names=[*cols, "keys"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = pa.Table.from_batches(list(simhash._match(64)(batch.slice(k, 1000) for k in range(0, n, 1000)))).to_pandas()
+links = out[out.b.isna()].set_index("a").links
+sizes = np.bincount(np.arange(n) // 4096)
+assert (links.sort_index().to_numpy() == np.repeat(sizes, sizes) - 1).all()
+assert len(out[~out.b.isna()]) == n - len(sizes)
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 
 def test_dedup_of_odd_tables(spark):
