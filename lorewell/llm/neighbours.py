@@ -31,6 +31,7 @@ from lorewell.shared import cut
 
 K, PART_ROWS, SAMPLE, HELD_OUT, RECALL = 10, 256, 20_000, 200, 0.96
 HIDDEN, STEPS, BATCH, GRAPH_K, TILE = 64, 800, 256, 16, 16_384
+LARGE = 8  # times PART_ROWS: a part of so many rows is partitioned itself
 FAN = 1024  # a node's children are node * FAN and the following; the root is 1
 FOUND = "id long, neighbour long, similarity double"
 PLACED = "id long, v array<float>, node long, lp double, goal long"
@@ -329,15 +330,18 @@ def _down(rows: DataFrame, level: int, routers: DataFrame, step: Callable[[Route
     return both.mapInArrow(run_sorted, PLACED).union(rows.join(routers.select("node"), "node", "left_anti").select(*[c.split()[0] for c in PLACED.split(", ")]))
 
 
-def build(rows: DataFrame, held: list[int], part_rows: int, sample: int) -> tuple[DataFrame, list[DataFrame]]:
+def build(rows: DataFrame, total: int, held: list[int], part_rows: int, sample: int) -> tuple[DataFrame, list[DataFrame]]:
     """(``rows`` with their leaves, the routers (node, router) of each level of the tree)."""
     placed = rows.select("id", "v", F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("lp"), F.lit(None).cast("long").alias("goal"))
     levels: list[DataFrame] = []
     while FAN ** (len(levels) + 1) < 1 << 62:
         level = len(levels)
-        # the nodes that the last level made: those that it could not split stay as they are
-        large = placed.where(F.col("node") >= FAN**level).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= 1.5 * part_rows)
-        some = placed.join(large, "node").where((F.pmod(F.xxhash64("id", "v"), F.col("n")) < sample) & ~F.col("id").isin(held))
+        if level == 0:
+            some = placed.withColumn("n", F.lit(total if total >= 1.5 * part_rows else 0)).where("n > 0")
+        else:  # nodes that the last level made and that are far too large; those that it could not split stay as they are
+            large = placed.where(F.col("node") >= FAN**level).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE * part_rows)
+            some = placed.join(large, "node")
+        some = some.where((F.pmod(F.xxhash64("id", "v"), F.col("n")) < sample) & ~F.col("id").isin(held))
         routers = cut(some.select("node", "n", "v", F.xxhash64("id", "v").alias("h")).repartition("node").sortWithinPartitions("node", "h").drop("h").mapInArrow(_train(part_rows, 2 * sample), "node long, router binary"))
         if routers.isEmpty():
             break
@@ -417,7 +421,7 @@ def _found(rows: DataFrame, total: int, k: int, part_rows: int, sample: int, rec
     """What the search finds in ``rows`` (id, v, query), whose vectors are of one length."""
     held = rows.orderBy(F.xxhash64("id", F.lit(1)), "id", "v").limit(min(HELD_OUT, max(1, total // 5))).toArrow()
     ids, first = np.unique(held["id"].to_numpy(), return_index=True)
-    placed, levels = build(rows, ids.tolist(), part_rows, sample)
+    placed, levels = build(rows, total, ids.tolist(), part_rows, sample)
     asked = rows.where("query").select("id", "v", F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("lp"), F.lit(None).cast("long").alias("goal"))
     if levels:
         cutoff = cutoff_of(rows, placed, levels, ids, normalised(held["v"].combine_chunks())[first], k, recall)

@@ -359,12 +359,12 @@ def test_parts_of_parts(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TILE", 400)
     x = some_vectors(np.random.default_rng(12), 60, 100)
     rows = neighbours._usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, e array<float>"), "i", "e", None)
-    placed, levels = neighbours.build(rows.select("id", "v"), [], 40, 320)
+    placed, levels = neighbours.build(rows.select("id", "v"), len(x), [], 10, 320)
     sizes = placed.groupBy("node").count().toPandas()
     assert len(levels) >= 2 and sizes["count"].sum() == len(x) and len(sizes) > 60
-    large = set(sizes.node[sizes["count"] > 300])
+    large = set(sizes.node[sizes["count"] > 80 * 1.5])
     assert len(large) <= 1  # the copies, which nothing can tell apart
-    got = neighbours.neighbours(rows, id_col="id", vector="v", queries=rows["id"] % 10 == 0, part_rows=40, sample=320).toPandas()
+    got = neighbours.neighbours(rows, id_col="id", vector="v", queries=rows["id"] % 10 == 0, part_rows=10, sample=320).toPandas()
     assert set(got.id) == set(range(0, len(x), 10)) and share_found(got, x) >= 0.9
 
 
