@@ -10,8 +10,6 @@ order and place, a passage is found also when its sentences are reordered or
 spread.
 """
 
-from __future__ import annotations
-
 import heapq
 
 import numpy as np
@@ -79,8 +77,8 @@ class Items:
             self.seeds[n] = (h[order], item[order], (at - words.first[item])[order], sieve)
 
 
-def _matches(words: Words, items: Items, threshold: float) -> list[tuple[int, int, float, int]]:
-    """(row, item's index, coverage, tiles) of the leaks in a batch."""
+def _matches(words: Words, items: Items, threshold: float, only: np.ndarray | None = None) -> list[tuple[int, int, float, int]]:
+    """(row, item's index, coverage, tiles) of the leaks in a batch; with ``only``, each row is held against one item."""
     out = []
     for n, (seeds, seed_item, seed_at, sieve) in items.seeds.items():
         h, at = shingles(words.hash, words.first, n)
@@ -96,13 +94,16 @@ def _matches(words: Words, items: Items, threshold: float) -> list[tuple[int, in
         place = np.repeat(at, each)
         row = np.searchsorted(words.first, place, side="right") - 1
         item, j, i = seed_item[which], seed_at[which], place - words.first[row]
+        if only is not None:
+            own = only[row] == item
+            row, item, i, j = row[own], item[own], i[own], j[own]
         order = np.lexsort((item, row))
         row, item, i, j = row[order], item[order], i[order], j[order]
         cut_at = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(item) != 0)]))
         for a, b in zip(cut_at, np.append(cut_at[1:], len(row))):
             r, m = int(row[a]), int(item[a])
             own = items.hash[items.first[m] : items.first[m + 1]]
-            if len(np.unique(j[a:b])) + n - 1 < threshold * len(own) and (b - a) * n < threshold * len(own):
+            if np.count_nonzero(np.bincount(j[a:b])) + n - 1 < threshold * len(own) and (b - a) * n < threshold * len(own):
                 continue  # all its seeds together cover too little
             covered, tiles = tile(words.hash[words.first[r] : words.first[r + 1]], own, i[a:b], j[a:b], n)
             if covered >= threshold * len(own):
@@ -132,16 +133,46 @@ def _leaks_broadcast(docs: DataFrame, bench: DataFrame, threshold: float, least:
     return docs.mapInArrow(run, FOUND)
 
 
+def _chosen_seeds(hashes: np.ndarray, frequency: np.ndarray, words: int, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(distinct seeds that stand for an item, places of each in it, places that a leak has at least among them).
+
+    Tiles that cover ``threshold`` of an item's words have at least one seed for each
+    ``n`` words.  The item can do without its most frequent seeds as long as fewer
+    places than that are lost.
+    """
+    distinct, first, places = np.unique(hashes, return_index=True, return_counts=True)
+    need = max(1, -(-int(np.ceil(threshold * words - 1e-9)) // n))
+    order = np.lexsort((distinct, -frequency[first]))
+    lost = np.cumsum(places[order])
+    kept = order[np.searchsorted(lost, need, side="left") :]  # those before lose fewer places than needed
+    return distinct[kept], places[kept], need - int(places.sum() - places[kept].sum())
+
+
 def _leaks_joined(docs: DataFrame, bench: DataFrame, threshold: float, least: int) -> DataFrame:
-    """For a benchmark too large to send to every task: seeds of both sides are joined, then the texts of the pairs."""
+    """For a benchmark too large to send to every task: seeds of both sides are joined, then the texts of the pairs that share enough of them.
 
-    def seeds_of_items(batches):
+    The most frequent seeds of an item, which hot passages would make meet with
+    nearly every document, are left out as far as that loses no leak.
+    """
+
+    def places_of_items(batches):
         for batch in batches:
             items = Items(batch.column("item_id").to_numpy(), batch.column("text"), least)
+            count = np.diff(items.first)
             for n, (h, item, _, _) in items.seeds.items():
-                yield pa.RecordBatch.from_arrays([pa.array(items.ids[item]), pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32))], names=["item_id", "seed", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(item)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(count[item])], names=["item", "seed", "n", "words"])
+
+    numbered_items = cut(bench.repartition("item_id").withColumn("item", F.monotonically_increasing_id()))
+    places = numbered_items.mapInArrow(places_of_items, "item long, seed long, n int, words long")
+    often = places.select("item", "seed", "n").distinct().groupBy("seed", "n").agg(F.count("*").alias("often"))
 
-    item_seeds = cut(bench.mapInArrow(seeds_of_items, "item_id long, seed long, n int").distinct())
+    def chosen(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        n, words = table["n"][0].as_py(), table["words"][0].as_py()
+        seeds, times, need = _chosen_seeds(table["seed"].to_numpy(), table["often"].to_numpy(), words, n, threshold)
+        size = len(seeds)
+        return pa.table({"item": pa.array([key[0].as_py()] * size, pa.int64()), "seed": seeds, "n": pa.array([n] * size, pa.int32()), "places": times, "need": pa.array([need] * size, pa.int64())})
+
+    item_seeds = cut(places.join(often, ["seed", "n"]).groupBy("item").applyInArrow(chosen, "item long, seed long, n int, places long, need long"))
     sizes = [r.n for r in item_seeds.select("n").distinct().collect()]  # at most ``least`` numbers
 
     def seeds_of_docs(batches):
@@ -155,22 +186,19 @@ def _leaks_joined(docs: DataFrame, bench: DataFrame, threshold: float, least: in
                     ids = batch.column("doc_id").take(pa.array(row[one]))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(h[one].view(np.int64)), pa.array(np.full(len(one), n, np.int32))], names=["doc_id", "seed", "n"])
 
-    pairs = docs.mapInArrow(seeds_of_docs, "doc_id long, seed long, n int").join(item_seeds, ["seed", "n"]).select("doc_id", "item_id").distinct()
-    both = pairs.join(docs, "doc_id").join(bench.withColumnRenamed("text", "item"), "item_id")
+    shared = docs.mapInArrow(seeds_of_docs, "doc_id long, seed long, n int").join(item_seeds, ["seed", "n"])
+    pairs = shared.groupBy("doc_id", "item").agg(F.sum("places").alias("places"), F.max("need").alias("need")).where("places >= need").select("doc_id", "item")
+    both = pairs.join(docs, "doc_id").join(numbered_items.withColumnRenamed("text", "item_text"), "item")
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                words = Words(*utf8(batch.column("text")))
-                for r in range(batch.num_rows):
-                    items = Items(batch.column("item_id").slice(r, 1).to_numpy(), batch.column("item").slice(r, 1), least)
-                    one = Words.__new__(Words)
-                    one.first = words.first[r : r + 2] - words.first[r]
-                    one.hash = words.hash[words.first[r] : words.first[r + 1]]
-                    found = _matches(one, items, threshold)
-                    yield _emit(batch.column("doc_id").slice(r, 1), found, items)
+                items_at, first, only = np.unique(batch.column("item").to_numpy(), return_index=True, return_inverse=True)
+                own = pa.array(first)
+                items = Items(batch.column("item_id").take(own).to_numpy(), batch.column("item_text").take(own), least)
+                yield _emit(batch.column("doc_id"), _matches(Words(*utf8(batch.column("text"))), items, threshold, only), items)
 
-    return both.select("doc_id", "text", "item_id", "item").mapInArrow(run, FOUND)
+    return both.select("doc_id", "text", "item", "item_id", "item_text").mapInArrow(run, FOUND)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, least: int = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -179,14 +207,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, le
     Null ids and null texts and items without words match nothing; an item of
     fewer than ``least`` words matches only as a whole.  Rows with the same
     doc_id and text, and the same item_id and text, count once; of different
-    texts under one id, the one covered most.  Other columns are ignored; empty
+    texts under one id, the one covered most, with the fewest tiles if several are
+    covered alike.  Very long texts are read whole.  Other columns are ignored; empty
     tables give an empty result.
     """
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).distinct()
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     found = (_leaks_broadcast if size <= broadcast_bytes else _leaks_joined)(own, bench, threshold, least)
-    return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max_by("tiles", "coverage").alias("tiles"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (-F.col("tiles")).alias("fewer"))).alias("best"))
+    return best.select("doc_id", "item_id", "best.coverage", (-F.col("best.fewer")).alias("tiles"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:

@@ -216,6 +216,33 @@ def test_leaks(spark, most):
     assert kept.where("doc_id >= 200").count() == 42 and kept.where("doc_id < 200").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+def test_hot_seeds_lose_no_leak(spark):
+    """Items that share a passage with each other and with every document, and partial leaks around the threshold, in both ways."""
+    rng = random.Random(13)
+    hot = prose(rng, 12)
+    items = [prose(rng, 10) + " " + hot + " " + prose(rng, rng.randint(5, 15)) for _ in range(30)] + ["x y x y x y x y x y x y", "a b c", hot, prose(rng, 9)]
+    rows = []
+    for i in range(300):
+        w = rng.choice(items).split()
+        k, n = rng.randint(0, len(w)), rng.randint(0, len(w))
+        rows.append((i, prose(rng, rng.randint(0, 30)) + " " + rng.choice(["", hot]) + " " + " ".join(w[k : k + n]) + " " + prose(rng, 5) + " " + " ".join(w[:k])))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    a, b = (sorted(map(tuple, decontaminate.leaks(docs(spark, rows), bench, broadcast_bytes=most).collect())) for most in (1 << 30, 0))
+    assert a == b and len(a) > 100
+    for d, m, coverage, _ in a[:40]:
+        item = re.findall("[0-9a-z]+", items[m])
+        assert round(coverage * len(item)) == tiled_by_hand(re.findall("[0-9a-z]+", rows[d][1]), item, min(5, len(item)))
+
+
+def test_ties_of_texts_under_one_id(spark):
+    a, b, c = "p q r s t", "u v w x y", "k l m n o"
+    bench = spark.createDataFrame([(1, f"{a} {b}")], "item_id long, text string")
+    rows = [(7, f"{a} {c} {b}"), (7, f"{a} {b}"), (7, f"{b} {a}"), (7, a)]
+    for _ in range(2):
+        assert [tuple(r) for r in decontaminate.leaks(docs(spark, rows), bench).collect()] == [(7, 1, 1.0, 1)]
+        rows.reverse()
+
+
 def test_leaks_of_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.leaks(docs(spark, []), bench).count() == 0
