@@ -7,13 +7,16 @@ piece lengths (at most SEQUENCE numbers, whatever the corpus) goes to the driver
 There, lengths are placed longest first: pieces go to the open packs with the
 least filling that have room; packs of equal content are one pattern with a
 count.  The patterns come back as intervals of ranks: the pieces of a length are
-ranked, and the rank says which pack and which offset a piece has.
+ranked, and a search among its intervals says which pack and which offset a piece has.
 """
 
 from __future__ import annotations
 
 from bisect import insort
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lorewell.shared import cut
@@ -67,17 +70,39 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, tuple[i
 
 
 def intervals(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, end rank, first pack, slot, offset): pieces of a length with these ranks go one to each pack from the first on."""
+    """(length, first rank, packs, first pack, first slot, first offset) for every run of equal lengths in every pattern, sorted.
+
+    The pieces of a length with the ranks from the first on fill one slot of all the
+    pattern's packs after the other.  A pattern is left behind by at most two steps of
+    each length, and has fewer than 64 different lengths for packs of 2,048 (their sum
+    bounds them), so that there are at most some 400,000 runs, whatever the corpus.
+    """
     out, next_rank, pack = [], {}, 0
     for n, pattern in patterns:
-        offset = 0
-        for slot, length in enumerate(pattern):
+        slot = offset = 0
+        for length, run in groupby(pattern):
+            times = sum(1 for _ in run)
             begin = next_rank.get(length, 0)
-            out.append((length, begin, begin + n, pack, slot, offset))
-            next_rank[length] = begin + n
-            offset += length
+            out.append((length, begin, n, pack, slot, offset))
+            next_rank[length] = begin + n * times
+            slot += times
+            offset += times * length
         pack += n
-    return out
+    return sorted(out)
+
+
+def places(plan: list[tuple[int, int, int, int, int, int]], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pack, slot, offset) of the pieces with these lengths and ranks."""
+    first = np.array([(x[0], x[1]) for x in plan], np.int64).reshape(-1, 2)
+    n, pack, slot, offset = np.array([x[2:] for x in plan], np.int64).reshape(-1, 4).T
+    # intervals of one length stand together; inside them the rank is searched for
+    lo, hi = np.searchsorted(first[:, 0], length, side="left"), np.searchsorted(first[:, 0], length, side="right")
+    while (open_ := hi - lo > 1).any():
+        mid = (lo + hi) // 2
+        up = open_ & (first[np.minimum(mid, len(first) - 1), 1] <= rank)
+        lo, hi = np.where(up, mid, lo), np.where(open_ & ~up, mid, hi)
+    turn, which = np.divmod(rank - first[lo, 1], n[lo])
+    return pack[lo] + which, slot[lo] + turn, offset[lo] + turn * length
 
 
 def word_count(text: Column) -> Column:
@@ -112,11 +137,16 @@ def pack(docs: DataFrame, size: int = SEQUENCE, length: Column | None = None, bu
     each = pieces.groupBy("length", "bucket").count()
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     plan = intervals(pack_histogram(counts, size))
-    schema = "length int, first_rank long, end_rank long, first_pack long, slot int, offset int"
-    # as many rows as patterns have slots: bounded by the sequence's length, not by the corpus
-    places = spark.createDataFrame(plan, schema)
+    shared = spark.sparkContext.broadcast(plan)  # bounded by the sequence's length, see ``intervals``
     before = each.select("length", "bucket", (F.sum("count").over(W.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
     ranked = pieces.withColumn("r", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1).join(before, ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("r") + F.col("before")).drop("r", "before", "bucket")
-    joined = ranked.join(F.broadcast(places) if len(plan) < 2_000_000 else places, "length").where("rank >= first_rank and rank < end_rank")
-    return joined.select("doc_id", "piece", "start", "length", (F.col("first_pack") + F.col("rank") - F.col("first_rank")).alias("pack_id"), "slot", "offset")
+
+    def run(batches):
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+            pack_id, slot, offset = places(shared.value, length.astype(np.int64), rank)
+            kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(pack_id), pa.array(slot.astype(np.int32)), pa.array(offset.astype(np.int32))], names=["doc_id", "piece", "start", "length", "pack_id", "slot", "offset"])
+
+    ranked = ranked.select("doc_id", "piece", "start", "length", (F.col("r") + F.col("before")).alias("rank"))
+    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length int, pack_id long, slot int, offset int")
