@@ -28,7 +28,7 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token ids of every document, written with controlled layout and read back."""
+    """The token ids and metadata of every document, written with controlled layout and read back."""
     return tokens.token_output(_read(spark, sf_dir, "documents"))
 
 

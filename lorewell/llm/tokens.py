@@ -11,7 +11,7 @@ encoding (a page of ids costs the bits of the ids that it has) or delta encoding
 row groups of a chosen size, pages of a chosen number of rows with an index of
 their least and largest doc_id.  Rows of a file are sorted by doc_id, so that a
 reader who asks for some doc_ids opens few pages, and one who asks for metadata
-opens no page of ids.
+(the documents' other columns stand beside the ids) opens no page of ids.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from lorewell.llm.bytetext import slices
 from lorewell.shared import shared_path
@@ -116,13 +117,20 @@ def encode(column: pa.Array, seen: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], end])[offsets]
 
 
+def _with_ids(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the columns that are written beside the ids."""
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_tokens", "tokens")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
+
+
 def tokenize(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, n_tokens, tokens) of every row of ``docs``.
+    """(doc_id, n_tokens, tokens, and the other columns of ``docs`` but text) of every row of ``docs``.
 
     A null or empty text has no tokens (an empty list); a null doc_id stays null;
-    repeated rows are each tokenized.  Other columns are ignored; an empty table
-    gives an empty result.  The ids are those that the tokenizer gives for the
-    whole text, and decode to it byte for byte.
+    repeated rows are each tokenized; texts of any length are tokenized whole.
+    Columns of ``docs`` named n_tokens or tokens are left out.  An empty table gives
+    an empty result.  The ids are those that the tokenizer gives for the whole
+    text, and decode to it byte for byte.
     """
 
     def run(batches):
@@ -131,9 +139,16 @@ def tokenize(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
             for batch in slices(whole, "text", 8 << 20):
                 ids, offsets = encode(batch.column("text"), seen)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int32)), lists], names=["doc_id", "n_tokens", "tokens"])
+                rest = batch.schema.names[2:]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int32)), lists, *(batch.column(c) for c in rest)], names=["doc_id", "n_tokens", "tokens", *rest])
+
+    rows = _with_ids(docs)
+    schema = StructType([*_parse(TOKENS), *rows.schema.fields[2:]])
+    return rows.mapInArrow(run, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)
+def _parse(ddl: str) -> list:
+    return StructType.fromDDL(ddl).fields
 
 
 def write(tokens: DataFrame, path: str, encoding_of_ids: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
@@ -158,13 +173,12 @@ def write(tokens: DataFrame, path: str, encoding_of_ids: str = "dictionary", row
 
 def write_documents(docs: DataFrame, path: str, ranks: str = RANKS, **layout) -> None:
     """Tokenize ``docs`` and write them at ``path``, each file sorted by doc_id (see ``tokenize`` and ``write``)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").sortWithinPartitions("doc_id")
-    write(tokenize(rows, ranks), path, **layout)
+    write(tokenize(_with_ids(docs).sortWithinPartitions("doc_id"), ranks), path, **layout)
 
 
-def read(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, columns: tuple[str, ...] = ("doc_id", "n_tokens", "tokens")) -> DataFrame:
+def read(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, columns: tuple[str, ...] = ("*",)) -> DataFrame:
     """Chosen columns of the documents from ``first`` to ``last`` (inclusive): the bounds reach the scan, which skips row groups and pages by their index."""
-    out = spark.read.schema(TOKENS).parquet(path)
+    out = spark.read.parquet(path)
     if first is not None:
         out = out.where(F.col("doc_id") >= first)
     if last is not None:
@@ -173,7 +187,7 @@ def read(spark: SparkSession, path: str, first: int | None = None, last: int | N
 
 
 def token_output(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """The written table, read back from the shared folder."""
+    """The written table (see ``tokenize``), read back from the shared folder."""
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")
     write_documents(docs, path, ranks)

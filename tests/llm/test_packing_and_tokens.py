@@ -34,6 +34,32 @@ def test_histogram_against_single_steps():
         assert {n: sum(k * p.count(n) for k, p in made) for n in counts} == counts
 
 
+def test_places_against_single_pieces():
+    rng = random.Random(9)
+    for size in (5, 16, 40, 300):
+        counts = {n: rng.randint(1, 60) for n in rng.sample(range(1, size + 1), rng.randint(1, min(size, 20)))}
+        patterns = packing.pack_histogram(counts, size)
+        plan = packing.intervals(patterns)
+        length = np.array([n for n in counts for _ in range(counts[n])])
+        rank = np.concatenate([np.arange(counts[n]) for n in counts])
+        got = list(zip(*(x.tolist() for x in packing.places(plan, length, rank)), length.tolist()))
+        want, number = [], 0
+        for n, pattern in patterns:
+            for _ in range(n):
+                at = 0
+                for slot, own in enumerate(pattern):
+                    want.append((number, slot, at, own))
+                    at += own
+                number += 1
+        assert sorted(got) == sorted(want)
+
+
+def test_a_document_of_many_pieces(spark):
+    d = spark.createDataFrame([(1, "w " * 10_000), (2, "w " * 2047), (3, "w " * 2048), (4, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.piece, r.start, r.length) for r in packing.pack(d).collect())
+    assert got == [(1, k, 2048 * k, 2048) for k in range(4)] + [(1, 4, 8192, 1809), (2, 0, 0, 2048), (3, 0, 0, 2048), (3, 1, 2048, 1), (4, 0, 0, 1)]
+
+
 def test_every_word_has_its_place(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.choice([0, 1, 7, 30, 95, 200]))), "s") for i in range(400)]
@@ -95,6 +121,9 @@ def test_layout_and_selective_reads(spark, tmp_path, kind):
     assert sorted(r.doc_id for r in got.collect()) == list(range(100, 120))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(doc_id,100)" in plan
+    assert got.columns == ["doc_id", "n_tokens", "tokens", "source"]
+    plan = tokens.read(spark, path, columns=("source",))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<source:string>" in plan
     plan = tokens.read(spark, path, columns=("n_tokens",))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<n_tokens:int>" in plan
     e = tokens.encoding()
