@@ -28,7 +28,9 @@ def _nfkc(texts: pa.Array) -> pa.Array:
 def normalize(text: Column, nfkc: bool = True) -> Column:
     """NFKC, then lower case.  Only texts with a character that NFKC may change travel to Python."""
     if nfkc:
-        text = F.coalesce(_nfkc(F.when(text.rlike(f"[^{_STABLE}]"), text)), text)
+        # bytes and characters are as many where all is ASCII; of other texts only what isn't ASCII is looked at
+        doubtful = (F.octet_length(text) != F.char_length(text)) & F.regexp_replace(text, "[\\x00-\\x7F]+", "").rlike(f"[^{_STABLE}]")
+        text = F.coalesce(_nfkc(F.when(doubtful, text)), text)
     return F.lower(text)
 
 

@@ -2,8 +2,8 @@
 
 Two ways to search.  ``bm25`` scans texts once: occurrences of each query term are
 counted inside the row, so that nothing is exploded or shuffled; what is kept of a
-document is its length and these counts.  ``search_index`` reads a stored index, whose postings are sorted by term, so
-that a query opens few row groups.
+document is its length and these counts.  ``search_index`` reads a stored index,
+whose postings are sorted by term, so that a query opens few row groups.
 """
 
 from __future__ import annotations
@@ -76,34 +76,53 @@ def bm25(docs: DataFrame, query: str, top_k: int = 10, analyzer: str = "en", tex
     return found.limit(top_k) if top_k > 0 else found
 
 
+def sized_postings(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str = "doc_id", *keep: str) -> DataFrame:
+    """(keep, key, dl, term, tf): postings with their document's length; a row with a null term and the length for every document.
+
+    Texts are tokenized once for both.
+    """
+    t = docs.select(*keep, key, T.analyzer(analyzer)(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    each = t.select(*keep, key, F.size("tokens").cast("long").alias("dl"), F.explode(F.array_append("tokens", F.lit(None))).alias("term"))
+    return each.where("dl > 0").groupBy(*keep, "term", key, "dl").agg(F.count("*").alias("tf"))
+
+
 def write_index(docs: DataFrame, path: str, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> None:
-    """Postings with their document's length, range-partitioned and sorted by term; and the collection's two totals."""
-    lengths = doc_stats(docs, analyzer, text, key)
-    sized = tokens(docs, analyzer, text, key).select(key, F.size("tokens").cast("long").alias("dl"), "tokens")
-    full = exploded(sized, key, "dl").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    """Postings with their document's length, range-partitioned and sorted by term; and the collection's two totals, made from what was written."""
+    full = sized_postings(docs, analyzer, text, key)
     full.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+    lengths = docs.sparkSession.read.parquet(f"{path}/postings").where("term is null")
     lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, analyzer: str = "en", key: str = "doc_id", k1: float = scores.K1, b: float = scores.B) -> DataFrame:
-    """Like ``bm25``, from a stored index: the terms are pushed down to the scan."""
-    terms = query_terms(spark, query, analyzer)
-    own = spark.read.parquet(f"{path}/postings").where(F.col("term").isin([t for t, _ in terms]))
+def rank(own: DataFrame, totals: DataFrame, terms: list[tuple[str, int]], top_k: int = 10, key: str = "doc_id", k1: float = scores.K1, b: float = scores.B, candidates: DataFrame | None = None) -> DataFrame:
+    """(key, score) from the postings (term, key, dl, tf) of the query's terms and one row (n, avgdl); ``candidates`` (key) limits what may be found."""
     dfs = own.groupBy("term").agg(F.count("*").alias("df"))
     times = F.coalesce(F.create_map(*(x for t, n in terms for x in (F.lit(t), F.lit(n))))[F.col("term")], F.lit(0)) if terms else F.lit(0)
-    each = own.join(F.broadcast(dfs), "term").crossJoin(F.broadcast(spark.read.parquet(f"{path}/totals")))  # a row for each query term, and one row
+    hit = own if candidates is None else own.join(candidates.select(key), key, "left_semi")
+    each = hit.join(F.broadcast(dfs), "term").crossJoin(F.broadcast(totals))  # a row for each query term, and one row
     part = times * scores.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), scores.idf(F.col("n"), F.col("df")), k1, b)
     found = each.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key)
     return found.limit(top_k) if top_k > 0 else found
 
 
+def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, analyzer: str = "en", key: str = "doc_id", k1: float = scores.K1, b: float = scores.B) -> DataFrame:
+    """Like ``bm25``, from a stored index: the terms are pushed down to the scan."""
+    terms = query_terms(spark, query, analyzer)
+    own = spark.read.parquet(f"{path}/postings").where(F.col("term").isin([t for t, _ in terms]))
+    return rank(own, spark.read.parquet(f"{path}/totals"), terms, top_k, key, k1, b)
+
+
 def term_stats(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row: documents, distinct terms, mean length."""
-    t = tokens(docs, analyzer, text, key)
-    own = t.select(F.when(F.size("tokens") > 0, F.size("tokens")).alias("dl"))
-    a = own.agg(F.count("dl").alias("n_docs"), F.round(F.avg("dl"), 6).alias("avgdl"))
-    b = exploded(t).agg(F.countDistinct("term").alias("n_terms"))
-    return a.crossJoin(F.broadcast(b))
+    return token_stats(tokens(docs, analyzer, text, key))
+
+
+def token_stats(tokens_: DataFrame) -> DataFrame:
+    """One row (n_docs, avgdl, n_terms) of a table with ``tokens``, which is read once: a null term after each document's own carries its length."""
+    each = tokens_.select(F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(None))).alias("term"))
+    by_term = each.groupBy("term").agg(F.count_if(F.col("term").isNull() & (F.col("dl") > 0)).alias("docs"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
+    sums = by_term.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n_docs"), F.sum("total").alias("total"), F.count("term").alias("n_terms"))
+    return sums.select("n_docs", F.round(F.try_divide(F.col("total"), F.col("n_docs")), 6).alias("avgdl"), "n_terms")
 
 
 def remove(table: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,22 +1,27 @@
-"""Pattern scans over texts."""
+"""Pattern scans over texts.
 
-from __future__ import annotations
+One dialect throughout: expressions are checked, matched and located by the
+JVM's engine, which knows Unicode classes (``\\p{L}``), ``\\z`` and the rest of what
+a linear-time engine accepts.
+"""
 
-import re
+from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lorewell.operators.running import running_sum
 
 SPANS = "array<struct<start:long,stop:long>>"
 _KIND = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+_OPEN, _SHUT = "\ufdd0", "\ufdd1"  # code points that Unicode keeps out of texts
 
 
 def _valid(pattern: str) -> bool:
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
         return False
     return True
 
@@ -26,39 +31,53 @@ def condition(text: Column, pattern: str, regex: bool = False, case_sensitive: b
     if not pattern or (regex and not _valid(pattern)):
         return F.lit(False)
     if regex:
-        return text.rlike(pattern if case_sensitive else f"(?i){pattern}")
+        return text.rlike(pattern if case_sensitive else f"(?iu){pattern}")
     return text.contains(pattern) if case_sensitive else F.lower(text).contains(pattern.lower())
 
 
-def spans_of(text: str, pattern: str, regex: bool, case_sensitive: bool) -> list[tuple[int, int]]:
-    """Byte offsets: literal matches may overlap, those of an expression don't; a literal without regard to case counts in the lower-cased text."""
-    if regex:
-        found = [m.span() for m in re.finditer(pattern, text, 0 if case_sensitive else re.I)]
-        size, at, out = 0, 0, []
-        for a, b in found:
-            size += len(text[at:a].encode())
-            start = size
-            size += len(text[a:b].encode())
-            out.append((start, size))
-            at = b
-        return out
-    raw, needle = (text, pattern) if case_sensitive else (text.lower(), pattern.lower())
-    data, key, out, at = raw.encode(), needle.encode(), [], 0
+def literal_spans(text: str, pattern: str) -> list[tuple[int, int]]:
+    """Byte offsets of all matches, which may overlap."""
+    data, key, out, at = text.encode(), pattern.encode(), [], 0
     while (at := data.find(key, at)) >= 0:
         out.append((at, at + len(key)))
         at += 1
     return out
 
 
+def marked_spans(text: str) -> list[tuple[int, int]]:
+    """Byte offsets, in the text without marks, of what stands between marks."""
+    out = []
+    first, *rest = text.split(_OPEN)
+    at = len(first.encode())
+    for piece in rest:
+        match, after = piece.split(_SHUT)
+        start, at = at, at + len(match.encode())
+        if at > start or not out or out[-1][1] < start:  # an empty match right after another is none
+            out.append((start, at))
+        at += len(after.encode())
+    return out
+
+
 def grep(docs: DataFrame, pattern: str, regex: bool = False, case_sensitive: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, spans) of the texts that match.  The filter is an expression; only texts that pass it travel to Python for their spans."""
-    hits = docs.where(condition(F.col(text), pattern, regex, case_sensitive)).select(F.col(key), F.col(text).alias("__text"))
+    """(key, spans) of the texts that match, as byte offsets: literal matches may overlap, those of an expression don't; a literal without regard to case counts in the lower-cased text.
+
+    Filter and, for expressions, the marks around matches are expressions; only
+    texts that pass travel to Python, which counts bytes.
+    """
+    hits = docs.where(condition(F.col(text), pattern, regex, case_sensitive))
+    if regex:
+        clean = F.translate(F.col(text), _OPEN + _SHUT, "\ufffd\ufffd")  # of as many bytes
+        shown = F.regexp_replace(clean, f"(?:{pattern})" if case_sensitive else f"(?iu)(?:{pattern})", f"{_OPEN}$0{_SHUT}") if pattern and _valid(pattern) else clean
+    else:
+        shown = F.col(text) if case_sensitive else F.lower(text)
+        pattern = pattern if case_sensitive else pattern.lower()
 
     @F.arrow_udf(SPANS)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"start": a, "stop": b} for a, b in spans_of(t, pattern, regex, case_sensitive)] for t in texts.to_pylist()], _KIND)
+        found = (marked_spans(t) if regex else literal_spans(t, pattern) for t in texts.to_pylist())
+        return pa.array([[{"start": a, "stop": b} for a, b in x] for x in found], _KIND)
 
-    return hits.select(key, run("__text").alias("spans"))
+    return hits.select(F.col(key), run(shown).alias("spans"))
 
 
 def within_budget(docs: DataFrame, most_bytes: int, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, Column]:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lorewell.operators.fulltext import exploded
+from lorewell.operators.fulltext import token_stats
 
 MODES = ("fts", "vector", "hybrid", "grep")
 EDGES = (1, 5, 10, 25, 50, 100, 250, 500)
@@ -70,7 +70,6 @@ def decay(terms: DataFrame, factor: float, least: float = 0.01) -> DataFrame:
 def structural(memories: DataFrame, triples: DataFrame, tokens: DataFrame) -> DataFrame:
     """One row: live memories, tombstones, collections, indexed documents and terms, triples."""
     a = memories.agg(F.count_if(~F.col("deleted")).alias("memories"), F.count_if("deleted").alias("tombstones"), F.countDistinct("collection").alias("collections"))
-    b = tokens.agg(F.count_if(F.size("tokens") > 0).alias("fts_docs"))
-    c = exploded(tokens).agg(F.countDistinct("term").alias("fts_terms"))
+    b = token_stats(tokens).select(F.col("n_docs").alias("fts_docs"), F.col("n_terms").alias("fts_terms"))
     d = triples.select("s", "p", "o").distinct().agg(F.count("*").alias("triples"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d)
+    return a.crossJoin(b).crossJoin(d)  # one row each

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorewell.functions import text as T
-from lorewell.functions.vectors import cosine_int8  # noqa: F401
 from lorewell.operators.components import connected_components
 from lorewell.operators.running import row_numbers
 
@@ -46,9 +45,9 @@ def patched(memories: DataFrame, patch: DataFrame, key: str = "id", columns: tup
 
 
 def set_tags(metadata: Column, tags: Column) -> Column:
-    """Metadata with its ``tags`` replaced; the other keys stay."""
-    kept = F.map_filter(F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,string>"), lambda k, v: k != "tags")
-    return F.to_json(F.map_concat(kept, F.create_map(F.lit("tags"), F.to_json(tags))))
+    """Metadata (a JSON object) with its ``tags`` replaced by a list; the other keys keep their values and types."""
+    kept = F.map_filter(F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,variant>"), lambda k, v: k != "tags")
+    return F.to_json(F.map_concat(kept, F.create_map(F.lit("tags"), F.parse_json(F.to_json(tags)))))
 
 
 def soft_deleted(memories: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:

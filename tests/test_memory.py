@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lorewell.operators import graph, metrics, records, usage
+from lorewell.operators import graph, hybrid, metrics, records, usage
 from lorewell.sources import embedders
 from lorewell.store import Store
 
@@ -62,7 +62,7 @@ def test_store_life(spark, tmp_path):
     assert s.search("fox", mode="fts").count() == 0 and s.search("turtle", mode="fts").count() == 1
     s.set_tags(b, ["t1", "t2"])
     meta = json.loads(s.get(b).metadata)
-    assert meta["k"] == "v" and json.loads(meta["tags"]) == ["t1", "t2"]
+    assert meta == {"k": "v", "tags": ["t1", "t2"]}
     assert records.latest(s.memories()).where(F.col("id") == b).first().access_count == 1
     m = s.merge([a, b], "animals", confirmed=True)
     assert [r.id for r in s.list("default").collect()] == [m]
@@ -92,6 +92,75 @@ def test_store_life(spark, tmp_path):
         s.close()
 
 
+def test_tags_leave_types_alone(spark):
+    d = spark.createDataFrame([('{"n":1,"ok":true,"o":{"a":[1,2.5]},"s":"x","tags":["old"]}',), (None,)], "m string")
+    got = [json.loads(r[0]) for r in d.select(records.set_tags(F.col("m"), F.array(F.lit("t")))).collect()]
+    assert got == [{"n": 1, "ok": True, "o": {"a": [1, 2.5]}, "s": "x", "tags": ["t"]}, {"tags": ["t"]}]
+
+
+def test_store_learns_and_forgets(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "l"), tuning=True)
+    a, b, c = (s.remember(t) for t in ("red apple pie", "red apple tart", "red cherry"))
+    plain = {r.id: r.score for r in s.search("apple", mode="fts").collect()}
+    s.record_usage([a, b], [b], ["apple"])
+    s.record_usage([a, c], [c], ["cherry"])
+    tuned = {r.id: r.score for r in s.search("apple", mode="fts").collect()}
+    assert tuned[b] > plain[b] and tuned[b] > tuned[a] > plain[a] and tuned[b] <= 1.5 * plain[b] + 1e-6
+    s.forget(b)
+    assert {r.item for r in s.priors().collect()} == {a, c} and {r.item for r in s.affinities().collect()} == {c}
+    s.reset_tuning()
+    assert s.priors().count() == 0 and {r.id: r.score for r in s.search("pie", mode="fts").collect()}.keys() == {a}
+    assert s.metrics().count() > 0
+    s.reset_metrics()
+    assert s.metrics().where("mode is not null").count() == 0
+
+
+def test_store_scores_and_filters(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "a"))
+    rows = [("1", "apple apple", "semantic", '{"k":"v"}', 0.1, "2020-01-01"), ("2", "apple pie", "episodic", '{"k":"w"}', 1.0, "2020-01-01"), ("3", "apple tart", "semantic", '{"k":"v"}', 0.9, "2038-01-01")]
+    s.remember_all(spark.createDataFrame(rows, "id string, content string, type string, metadata string, importance double, t string").withColumn("created_at", F.to_timestamp("t")).drop("t"))
+    assert [r.id for r in s.search("apple", mode="fts", scoring="agent").collect()] == ["1", "3", "2"]
+    only = lambda **k: {r.id for r in s.search("apple", mode="fts", where=hybrid.matches(**k)).collect()}
+    assert only(type_="episodic") == {"2"} and only(metadata={"k": "v"}) == {"1", "3"} and only(after="2030-01-01") == {"3"} and only(before="2030-01-01", metadata={"k": "v"}) == {"1"}
+    with pytest.raises(ValueError):
+        s.search("apple", scoring="odd")
+
+
+def test_store_survives_an_unfinished_compaction(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "c"))
+    a = s.remember("one fish")
+    s.get(a)
+    s.update(a, content="two fish")
+    s.get(a)
+    for folder in ("memories-5", "postings-5"):  # what a crash before the switch leaves behind
+        spark.range(1).write.parquet(str(tmp_path / "c" / folder))
+    assert s.search("fish", mode="fts").count() == 1
+    for _ in range(2):
+        s.compact()
+        assert [r.id for r in s.search("two", mode="fts").collect()] == [a] and s.search("one", mode="fts").count() == 0
+        assert s.memories().first().access_count == 2
+    s.close()
+    again = Store(spark, str(tmp_path / "c"))
+    again.remember("three fish")
+    assert again.search("fish", mode="fts").count() == 2 and again.get(a).access_count == 2
+
+
+def test_organisation_by_a_model(spark, tmp_path):
+    answers = {"extract": '{"entities":[{"name":"Ada","type":"person"}],"relations":[{"subject":"Ada","predicate":"wrote","object":"code"}]}', "autotag": '["x"]', "importance": '{"score":0.25}'}
+    s = Store(spark, str(tmp_path / "o"), complete=lambda p: next(v for k, v in answers.items() if p.startswith(embedders.JOBS[k])))
+    s.remember("Ada wrote code")
+    got = s.organize().first()
+    assert (got.entities[0].name, got.relations[0].predicate, got.tags, got.importance) == ("Ada", "wrote", ["x"], 0.25)
+    with pytest.raises(ValueError):
+        s.organize(("odd",))
+
+
+def test_mock_embedding_values():
+    v = embedders.mock_vector("hello", 3)
+    assert sum(x * x for x in v) == pytest.approx(1, abs=1e-6) and v == embedders.mock_vector("hello", 3) != embedders.mock_vector("hellp", 3)
+    assert len(embedders.mock_vector("", 5)) == 5
+
+
 def test_store_with_vectors(spark, tmp_path):
     embed = lambda texts: [embedders.mock_vector(t, 16) for t in texts]
     s = Store(spark, str(tmp_path / "v"), embed=embed, complete=lambda p: '{"score": 0.9}' if "Rate" in p else "no json")
