@@ -1,11 +1,12 @@
 """The main text of web pages: gradient-boosted trees judge DOM nodes, hierarchical decoding makes their judgements agree.
 
 Each element and text node gets log-odds of being content from its features
-(``dom.FEATURES``).  A node is then kept whole, dropped whole, or mixed, which
+(``dom.FEATURES``), among them what its tag and the words of its attributes, and those
+above it, were learned to say.  A node is then kept whole, dropped whole, or mixed, which
 leaves the choice to its children; below a kept node all is kept, below a dropped
 one all is dropped, so that no descendant contradicts an ancestor.  Of all such
-choices the one with the largest sum of log-odds, weighed by text, is found exactly
-from the leaves up.
+choices the one with the largest sum of log-odds (those of text nodes weighed by their
+length) is found exactly from the leaves up.
 
 The trees are trained on made-up pages (``made_page``) whose text nodes are known to
 be content or not; ``forest.npz`` beside this file has them, ``train`` makes it anew.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -61,17 +63,24 @@ def decode(parent: np.ndarray, end: np.ndarray, length: np.ndarray, score: np.nd
     return np.array(choice, np.int64)
 
 
-def load() -> trees.Forest:
+@dataclass
+class Model:
+    names: np.ndarray
+    forest: trees.Forest
+
+
+def load() -> Model:
     with np.load(FOREST) as f:
-        return trees.Forest(f["feature"].astype(np.int64), f["cut"], f["leaf"], float(f["base"]))
+        return Model(f["names"].astype(np.float32), trees.Forest(f["feature"].astype(np.int64), f["cut"], f["leaf"], float(f["base"])))
 
 
-def judge(forest: trees.Forest, pages: list[dom.Tree]) -> np.ndarray:
+def judge(model: Model, pages: list[dom.Tree]) -> np.ndarray:
     """Choice for every node of all pages."""
-    x, parent, end, length = dom.features(pages)
+    x, parent, end, length = dom.features(pages, model.names)
     some = np.flatnonzero(length > 0)
     score = np.zeros(len(x))
-    score[some] = np.clip(forest.log_odds(x[some]), -SURE, SURE) * np.log1p(length[some])
+    text = x[some, dom.FEATURES.index("is_text")] > 0
+    score[some] = np.clip(model.forest.log_odds(x[some]), -SURE, SURE) * np.where(text, np.log1p(length[some]), 1.0)
     return decode(parent, end, length, score)
 
 
@@ -102,9 +111,9 @@ def render(tree: dom.Tree, choice: np.ndarray) -> tuple[str, int, int]:
     return "\n".join(lines), every, kept
 
 
-def extract(forest: trees.Forest, pages: list[str | None]) -> list[tuple[str, int, int]]:
+def extract(model: Model, pages: list[str | None]) -> list[tuple[str, int, int]]:
     parsed = [dom.parse(p) for p in pages]
-    choice, at, out = judge(forest, parsed), 0, []
+    choice, at, out = judge(model, parsed), 0, []
     for t in parsed:
         out.append(render(t, choice[at : at + len(t.parent)]))
         at += len(t.parent)
@@ -117,16 +126,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null page has a null text and no nodes; an empty page, one without text
     or one that is all boilerplate has the empty text.  A null page_id or url
     stays null; repeated rows are treated alike.  Other columns are ignored; an
-    empty table gives an empty result.  Pages are parsed whole, one by one;
-    nothing is shuffled.
+    empty table gives an empty result.  Pages of any length are parsed whole, one
+    by one; nothing is shuffled.
     """
-    forest = load()
+    model = load()
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "html", 1 << 20):
                 html = batch.column("html").to_pylist()
-                found = extract(forest, html)
+                found = extract(model, html)
                 texts = [None if h is None else t for h, (t, _, _) in zip(html, found)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([n for _, n, _ in found], pa.int32()), pa.array([k for _, _, k in found], pa.int32())],
@@ -137,83 +146,134 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 CONTENT, BOILERPLATE = "\x01", "\x02"  # marks at the head of every text of a made-up page
+_BAD = "nav menu navbar navigation footer foot sidebar aside ad ads advert advertisement banner cookie consent social share sharing related recommend recommended comments promo sponsor sponsored breadcrumb breadcrumbs copyright subscribe newsletter popup modal widget login signup search pager pagination toolbar tags byline legal topbar links masthead skip teaser rail gdpr disclaimer follow sitemap".split()
+_GOOD = "article content post entry main body text story blog prose hentry maincontent paragraph document chapter lead intro abstract section news detail".split()
+_WRONG = _BAD + ["comments", "related", "sidebar", "widget"] * 6  # what parts are called that deserve it not
+_ANY = "container wrapper page row col column box block inner outer left right center grid item list card clearfix group panel module region view field large small first last primary secondary".split()
 
 
 def made_page(rng: np.random.Generator) -> str:
-    """A page of invented words in one of many layouts; each text begins with the mark of what it is."""
+    """A page of invented words in one of many layouts; each text begins with the mark of what it is.
+
+    Tags, attribute words, order and nesting are drawn independently, so that each
+    is evidence and none is proof; some pages leave tags open, some mislabel parts.
+    """
     pick = lambda items: items[int(rng.integers(len(items)))]
+    chance = lambda p: rng.random() < p
+    several = lambda low, high: range(int(rng.integers(low, high)))
     syllables = "ba co di fe gu ha in jo ka le mi no or pa qu re si to un ve wa en er st th".split()
+    shut, bare = chance(0.8), rng.choice([0.1, 0.4, 0.9])
 
     def words(n: int, end: str = "") -> str:
-        made = " ".join("".join(pick(syllables) for _ in range(int(rng.integers(1, 5)))) for _ in range(n))
+        made = " ".join("".join(pick(syllables) for _ in several(1, 5)) for _ in range(n))
         return made.capitalize() + end
 
     def sentence() -> str:
-        n, noise = int(rng.integers(3, 18)), pick(["", "", "", "", ",", "***", "$$$"])
-        return words(n).replace(" ", noise + " ", 1 + n // 4) + pick([".", ".", ".", "!", "?"])
-
-    def prose(sentences: int) -> str:
-        return CONTENT + " ".join(sentence() for _ in range(sentences))
-
-    def attrs(names: list[str], bare: float = 0.4) -> str:
-        return "" if rng.random() < bare else f' {pick(["class", "class", "id"])}="{pick(names)}{pick(["", "", "-wrap", " box", "-1"])}"'
+        n, noise = int(rng.integers(3, 20)), pick(["", "", "", "", ",", ";", " -"])
+        return words(n).replace(" ", noise + " ", 1 + n // 4) + pick([".", ".", ".", "!", "?", ":"])
+
+    def prose(sentences: int, mark: str = CONTENT) -> str:
+        out = []
+        for _ in range(sentences):
+            s = sentence()
+            if chance(0.12):
+                tag, at = pick("b i em strong a span code u mark sub abbr".split()), s.find(" ") + 1
+                s = f"{s[:at]}<{tag}{' href=/x' if tag == 'a' else ''}>{mark}{words(int(rng.integers(1, 4)))}</{tag}>{mark} {s[at:]}"
+            out.append(s)
+        return mark + pick([" ", " ", "\n", "<br>" + mark, "<br/><br/>" + mark]).join(out)
+
+    def attrs(names: list[str]) -> str:
+        if chance(bare):
+            return ""
+        made = pick(names) if chance(0.9) else pick(_ANY)
+        made += pick(["", "", "", "-" + pick(_ANY), " " + pick(_ANY), "_" + pick(names), str(int(rng.integers(0, 20)))])
+        quote = pick(['"', '"', "'"])
+        return f" {pick(['class', 'class', 'class', 'id', 'role'])}={quote}{made}{quote}"
 
     def links(n: int) -> str:
-        item = lambda: f'<a href="/{words(1)}">{BOILERPLATE}{words(int(rng.integers(1, 4)))}</a>'
-        form = pick(["ul", "ul", "plain", "div"])
-        return "<ul>" + "".join(f"<li>{item()}</li>" for _ in range(n)) + "</ul>" if form == "ul" else "".join(f"<div>{item()}</div>" if form == "div" else item() + pick([" ", " | "]).replace("|", f"<i>{BOILERPLATE}|</i>") for _ in range(n))
+        item = lambda: f'<a href="/{words(1)}">{BOILERPLATE}{words(int(rng.integers(1, 5)))}</a>'
+        form = pick(["ul", "ul", "plain", "div", "table", "select"])
+        each = [item() for _ in range(n)]
+        if form == "ul":
+            return "<ul>" + "".join(f"<li>{x}" + "</li>" * shut for x in each) + "</ul>"
+        if form == "table":
+            return "<table><tr>" + "".join(f"<td>{x}</td>" for x in each) + "</tr></table>"
+        if form == "select":
+            return "<select>" + "".join(f"<option>{BOILERPLATE}{words(1)}</option>" for _ in each) + "</select>" if chance(0.3) else " ".join(each)
+        return "".join(f"<{form}>{x}</{form}>" for x in each) if form == "div" else f" {BOILERPLATE}{pick(['|', '·', '/', ''])} ".join(each)
 
     def nav() -> str:
-        tag = pick(["nav", "nav", "div", "header"])
-        return f"<{tag}{attrs(['nav', 'menu', 'top navbar', 'navigation'], 0.7 if tag == 'nav' else 0.1)}>{links(int(rng.integers(3, 10)))}</{tag}>"
+        tag = pick(["nav", "nav", "div", "div", "header", "section", "td"])
+        title = f"<h1>{BOILERPLATE}{words(2)}</h1>" if tag == "header" and chance(0.4) else ""
+        return f"<{tag}{attrs(_BAD)}>{title}{links(int(rng.integers(2, 12)))}</{tag}>"
 
     def notice() -> str:
-        text = BOILERPLATE + (words(int(rng.integers(1, 6))) if rng.random() < 0.3 else " ".join(sentence() for _ in range(int(rng.integers(1, 4)))))
-        tag = pick(["div", "div", "div", "aside", "section", "p"])
-        inner = pick([text, f"<p>{text}</p>", f"<span>{text}</span>", f"<p>{text}</p>" + links(int(rng.integers(1, 5)))]) if tag != "p" else text
-        return f"<{tag}{attrs(['ad', 'ads', 'advert', 'cookie consent', 'banner', 'promo', 'newsletter subscribe', 'related', 'share social', 'sidebar', 'sponsored', 'comments'], 0.5 if tag == 'aside' else 0.02)}>{inner}</{tag}>"
+        text = BOILERPLATE + words(int(rng.integers(1, 8))) if chance(0.35) else prose(int(rng.integers(1, 5)), BOILERPLATE)
+        tag = pick(["div", "div", "div", "aside", "aside", "section", "p", "form", "noscript", "dialog"])
+        heading = f"<h{pick('2345')}>{BOILERPLATE}{words(int(rng.integers(1, 4)))}</h3>" if chance(0.3) else ""
+        inner = pick([text, f"<p>{text}</p>", f"<span>{text}</span>", f"{heading}<p>{text}</p>{links(int(rng.integers(1, 6)))}", heading + "".join(f"<p>{prose(1, BOILERPLATE)}</p>" for _ in several(1, 4))])
+        own = f' {pick(["class", "id"])}="{pick(_BAD)}{pick(["", "-" + pick(_ANY), " " + pick(_BAD)])}"' if tag in ("div", "section", "p") and not chance(0.03) else attrs(_BAD)
+        return f"<{tag}{own}>{inner if tag != 'p' else text}</{tag}>"
+
+    def comments() -> str:
+        each = "".join(f"<div{attrs(['comment', 'reply', 'user'])}><b>{BOILERPLATE}{words(1)}</b><p>{prose(int(rng.integers(1, 4)), BOILERPLATE)}</p></div>" for _ in several(1, 6))
+        return f"<{pick(['div', 'section'])} {pick(['class', 'id'])}=\"{pick(['comments', 'comment-list', 'discussion', 'replies'])}\"><h3>{BOILERPLATE}{words(1)}</h3>{each}</div>"
 
     def foot() -> str:
-        tag = pick(["footer", "footer", "div"])
-        text = BOILERPLATE + pick(["© 2024 " + words(3), words(int(rng.integers(1, 12)), "."), "Copyright " + words(2), " ".join(sentence() for _ in range(int(rng.integers(1, 4))))])
-        return f"<{tag}{attrs(['footer', 'copyright', 'legal'], 0.7 if tag == 'footer' else 0)}>{pick([text, '<p>' + text + '</p>', text + links(3)])}</{tag}>"
+        tag = pick(["footer", "footer", "div", "address"])
+        text = BOILERPLATE + pick(["© 2024 " + words(3), words(int(rng.integers(1, 12)), "."), "Copyright " + words(2), words(4)])
+        text = prose(int(rng.integers(1, 4)), BOILERPLATE) if chance(0.3) else text
+        return f"<{tag}{attrs(_BAD)}>{pick([text, '<p>' + text + '</p>', text + links(3), '<small>' + text + '</small>'])}</{tag}>"
+
+    def block() -> str:
+        text = prose(int(pick([1, 1, 2, 3, 5, 9])))
+        close = lambda tag: f"</{tag}>" if shut else ""
+        form = pick(["p"] * 9 + ["h", "h", "list", "quote", "pre", "table", "div", "dl", "figure", "bare", "math", "notice"])
+        if form == "h":
+            return f"<h{pick('23456')}>{CONTENT}{words(int(rng.integers(1, 9)))}</h2>"
+        if form == "list":
+            tag = pick(["ul", "ol"])
+            return f"<{tag}>" + "".join(f"<li>{prose(1)}{close('li')}" for _ in several(2, 7)) + f"</{tag}>"
+        if form == "quote":
+            return f"<blockquote>{pick([text, '<p>' + text + '</p>'])}</blockquote>"
+        if form == "pre":
+            return f"<pre>{CONTENT}{words(6)}\n  {words(3)}</pre>"
+        if form == "table":
+            return "<table>" + "".join(f"<tr><td>{CONTENT}{words(2)}{close('td')}<td>{CONTENT}{int(rng.integers(1, 999))}{close('td')}" for _ in several(2, 6)) + "</table>"
+        if form == "dl":
+            return "<dl>" + "".join(f"<dt>{CONTENT}{words(1)}{close('dt')}<dd>{prose(1)}{close('dd')}" for _ in several(1, 4)) + "</dl>"
+        if form == "figure":
+            return f"<figure><img src=/x><figcaption>{prose(1)}</figcaption></figure>"
+        if form == "math":
+            return f"<p>{text} <math><mi>{CONTENT}x</mi><mo>{CONTENT}=</mo><mn>{CONTENT}{int(rng.integers(0, 99))}</mn></math></p>"
+        if form == "bare":
+            return text + pick(["<br>", "<br><br>", "<hr>"])
+        if form == "notice":
+            return notice() if chance(0.5) else comments() if chance(0.2) else f"<div>{text}</div>"
+        tag = "p" if form == "p" else "div"
+        head = f"<{pick(['b', 'strong', 'i'])}>{CONTENT}{words(2)}{pick(['</b>', '</strong>', '</i>', ''])}{pick(['', '<br>'])}" if chance(0.06) else ""
+        return f"<{tag}{attrs(_ANY) if chance(0.2) else ''}>{head}{text}{close(tag) if tag == 'p' else '</div>'}"
 
     def body() -> str:
-        out, title = [], words(int(rng.integers(1, 12)))
-        if rng.random() < 0.8:
-            out.append(f"<h1>{CONTENT}{title}</h1>")
-        shut = rng.random() < 0.8
-        for _ in range(int(pick([1, 1, 2, 3, 5, 8, 15, 30]))):
-            kind = rng.random()
-            text = prose(int(pick([1, 1, 2, 3, 5, 9])))
-            if kind < 0.6:
-                out.append(f"<p>{text}" + "</p>" * shut)
-            elif kind < 0.68:
-                out.append(f"<p><b>{prose(1)}<br>")
-            elif kind < 0.74:
-                out.append(f"<p>{text} <a href='/x'>{CONTENT}{words(2)}</a> {prose(1)}</p>")
-            elif kind < 0.79:
-                out.append(f"<h2>{CONTENT}{words(int(rng.integers(1, 7)))}</h2>")
-            elif kind < 0.84:
-                out.append("<ul>" + "".join(f"<li>{prose(1)}</li>" for _ in range(int(rng.integers(2, 6)))) + "</ul>")
-            elif kind < 0.88:
-                out.append(f"<blockquote>{text}</blockquote>")
-            elif kind < 0.91:
-                out.append(f"<pre>{text}\n  {words(3)}</pre>")
-            elif kind < 0.95:
-                out.append("<table>" + "".join(f"<tr><td>{CONTENT}{words(2)}</td><td>{CONTENT}{int(rng.integers(1, 999))}</td></tr>" for _ in range(3)) + "</table>")
-            elif kind < 0.98:
-                out.append(notice())
-            else:
-                out.append(f"<div>{text}</div>")
-        tag = pick(["article", "article", "article", "main", "div", "div", "section", "bare"])
+        out = [f"<h1>{CONTENT}{words(int(rng.integers(1, 12)))}</h1>"] if chance(0.75) else []
+        out += [block() for _ in range(int(pick([1, 1, 2, 3, 5, 8, 15, 30, 120] if chance(0.2) else [1, 1, 2, 3, 5, 8, 15])))]
+        tag = pick(["article", "article", "article", "main", "div", "div", "div", "section", "td", "bare"])
         inner = "".join(out)
-        return inner if tag == "bare" else f"<{tag}{attrs(['content', 'post entry', 'article body', 'main', 'story text', 'wrap'], 0.6)}>{inner}</{tag}>"
-
-    parts = [nav() for _ in range(pick([0, 1, 1, 2]))] + [notice() for _ in range(pick([0, 0, 1, 1, 2]))] + [body()] + [notice() for _ in range(pick([0, 0, 1, 2]))] + [foot() for _ in range(pick([0, 1, 1, 1]))]
-    inner = "".join(parts)
-    if rng.random() < 0.3:
-        inner = f"<div{attrs(['container', 'wrapper', 'page'])}>{inner}</div>"
+        if chance(0.15):
+            inner = f"<div{attrs(_ANY + _GOOD if chance(0.7) else _WRONG)}>{inner}</div>"
+        if tag == "bare":
+            return inner
+        own = attrs(_GOOD if chance(0.88) else _WRONG)  # a page may name its parts badly
+        return f"<{tag}{own}>{inner}</{tag}>" if tag != "td" else f"<table><tr><td{own}>{inner}</td></tr></table>"
+
+    before = [pick([nav, nav, notice])() for _ in range(pick([0, 1, 1, 2, 3]))]
+    after = [pick([notice, notice, nav, comments])() for _ in range(pick([0, 0, 1, 2, 3]))]
+    if chance(0.03):
+        return pick(["", "<html><body>", "<p>", "<pre>", "<body><div>"]) + prose(int(rng.integers(1, 30)))
+    parts = before + [body()] + after + [foot() for _ in range(pick([0, 1, 1, 1]))]
+    inner = pick(["", "\n"]).join(parts)
+    for _ in range(pick([0, 0, 1, 2])):
+        inner = f"<div{attrs(_ANY if chance(0.9) else _WRONG)}>{inner}</div>"
     return f"<!DOCTYPE html><html><head><title>{words(5)}</title><style>p{{margin:0}}</style></head><body>{inner}" + pick(["</body></html>", ""])
 
 
@@ -232,15 +292,19 @@ def labelled(rng: np.random.Generator, pages: int) -> tuple[list[dom.Tree], np.n
     return parsed, np.concatenate(labels)
 
 
-def train(pages: int = 2500, seed: int = 11) -> trees.Forest:
-    parsed, y = labelled(np.random.default_rng(seed), pages)
-    x, _, _, length = dom.features(parsed)
+def train(pages: int = 3000, seed: int = 11) -> Model:
+    """Names are learned from half as many pages of their own, so that the trees see them as they come on new pages."""
+    rng = np.random.default_rng(seed)
+    names = dom.learn_names(*labelled(rng, pages // 2))
+    parsed, y = labelled(rng, pages)
+    x, _, _, length = dom.features(parsed, names)
     some = np.flatnonzero((y >= 0) & (length > 0))
-    return trees.fit(x[some], y[some])
+    return Model(names, trees.fit(x[some], y[some], trees=100, depth=5))
 
 
-def save(forest: trees.Forest, path: str = FOREST) -> None:
-    np.savez_compressed(path, feature=forest.feature.astype(np.uint8), cut=forest.cut, leaf=forest.leaf, base=forest.base)
+def save(model: Model, path: str = FOREST) -> None:
+    f = model.forest
+    np.savez_compressed(path, names=model.names.astype(np.float16), feature=f.feature.astype(np.uint8), cut=f.cut, leaf=f.leaf, base=f.base)
 
 
 if __name__ == "__main__":
