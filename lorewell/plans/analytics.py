@@ -139,3 +139,13 @@ def usage_purge(spark, sf_dir):
 @query(f"with {_PRIOR}, {_AFF} select (select count(*) from events)::bigint as events, (select count(*) from pr)::bigint as items, (select count(*) from top)::bigint as term_items")
 def usage_stats(spark, sf_dir):
     return usage.stats(usage_log(table(spark, sf_dir, "events")))
+
+
+@query(
+    "select 'default' as collection, event_type as term, user_id::varchar as item, round(sum(exp(-ln(2) * greatest(epoch(timestamp '2024-03-01') - floor(epoch(ts)), 0) / 604800.0)), 6) as weight"
+    " from events where event_type = 'purchase' group by 2, 3"
+)
+def usage_decayed_affinity(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    log = usage_log(events).drop("at").withColumn("collection", F.lit("default")).join(events.select(F.col("event_id").cast("string").alias("query_id"), F.col("ts").cast("timestamp").alias("at")), "query_id")
+    return usage.decayed_affinities(log, "2024-03-01", 604800).withColumn("weight", F.round("weight", 6))

@@ -100,3 +100,14 @@ def graph_expand_multiplicity(spark, sf_dir):
 @query(f"with {_TRIPLES} select p, count(*)::bigint as n from (select distinct s, p, o from t) group by 1")
 def graph_count(spark, sf_dir):
     return triples(spark, sf_dir).select("s", "p", "o").distinct().groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query(
+    "with t as (select 'c:' || o_custkey as s, 'o:' || o_orderkey as o, o_orderkey::varchar as source from orders), h as (select s, o from t where source in ('1', '2')),"
+    " e as (select s as e from h union select o from h)"
+    " select t.source as doc_id, 1::int as hop from t where (t.s in (select e from e) or t.o in (select e from e)) and t.source not in ('1', '2') group by 1"
+)
+def graph_memories_near(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    own = orders.select(F.concat(F.lit("c:"), "o_custkey").alias("s"), F.lit("placed").alias("p"), F.concat(F.lit("o:"), "o_orderkey").alias("o"), F.lit(1.0).cast("float").alias("weight"), F.col("o_orderkey").cast("string").alias("source"))
+    return graph.memories_near(own, orders.where("o_orderkey in (1, 2)").select(F.col("o_orderkey").alias("doc_id")), 1)

@@ -105,3 +105,10 @@ def episodic_pools(spark, sf_dir):
 def merge_provenance(spark, sf_dir):
     own = memories(spark, sf_dir).where("collection = 'src3'").withColumn("id", F.col("id").cast("string"))
     return records.merged(own, "new", "all of them", confirmed=True).withColumn("importance", F.col("importance").cast("double"))
+
+
+@query("select doc_id as id, '{\"lang\":\"' || lang || '\",\"n\":' || n_chars || ',\"tags\":[\"' || source || '\"]}' as metadata from documents")
+def tags_keep_types(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    meta = F.to_json(F.struct("lang", F.col("n_chars").alias("n"), F.lit("old").alias("tags")))
+    return docs.select(F.col("doc_id").alias("id"), records.set_tags(meta, F.array("source")).alias("metadata"))

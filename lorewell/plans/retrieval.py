@@ -106,6 +106,24 @@ def filtered_search(spark, sf_dir):
     return fulltext.bm25(table(spark, sf_dir, "documents"), TERMS, 10, candidates=F.col("lang") == "en")
 
 
+@query("select doc_id from (select *, timestamp '2024-01-01' + to_seconds(600 * n_chars) as made from documents) where lang = 'en' and source = 'src3' and made >= timestamp '2024-01-03' and made < timestamp '2024-02-15'")
+def filter_matches(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.col("lang").alias("type"), F.to_json(F.struct("source")).alias("metadata"), F.timestamp_seconds(1704067200 + 600 * F.col("n_chars")).alias("created_at"))
+    return rows.where(hybrid.matches("en", {"source": "src3"}, "2024-01-03", "2024-02-15")).select("doc_id")
+
+
+@query("select vec_id // 4 as memory_id, min(vec_id)::bigint as first_id, round(arg_min(embedding[2], vec_id)::double, 6) as second from embeddings where embedding[1] >= 0 group by 1")
+def first_chunk_vectors(spark, sf_dir):
+    """Four vectors in a row are the chunks of a memory; those whose first number is negative count as missing."""
+    rows = table(spark, sf_dir, "embeddings")
+    there = F.when(F.col("embedding")[0] >= 0, F.col("embedding"))
+    chunks = rows.select(F.floor(F.col("vec_id") / 4).cast("long").alias("memory_id"), F.col("vec_id").alias("ord"), there.alias("vector"))
+    own = vectors.first_chunk_vector(chunks)
+    first = chunks.where("vector is not null").groupBy("memory_id").agg(F.min("ord").alias("first_id"))
+    return own.join(first, "memory_id").select("memory_id", "first_id", F.round(F.col("vector")[1].cast("double"), 6).alias("second"))
+
+
 _AGE = "epoch(timestamp '2024-03-01' - ts)"
 
 

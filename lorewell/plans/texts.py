@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lorewell.functions import text as T
 from lorewell.operators import fulltext, grep
 from lorewell.plans.base import bm25_sql, declare, table, tokens_sql
+from lorewell.shared import shared_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,14 @@ def fts_bm25_dup_terms(spark, sf_dir):
     return fulltext.bm25(table(spark, sf_dir, "documents"), "tion Tion ing", 10)
 
 
+@query(f"with {bm25_sql(TERMS.split(), 10)} select doc_id, score from lex")
+def fts_index_search(spark, sf_dir):
+    """Writes the index and searches it."""
+    path = shared_path(spark, "index")
+    fulltext.write_index(table(spark, sf_dir, "documents"), path)
+    return fulltext.search_index(spark, path, f"the {TERMS}", 10)
+
+
 @query(f"with t as (select doc_id, unnest({tokens_sql()}) as term from documents) select term, doc_id, count(*)::bigint as tf from t group by 1, 2")
 def fts_postings(spark, sf_dir):
     return fulltext.postings(table(spark, sf_dir, "documents"))
@@ -118,6 +127,17 @@ def blobref_dedup(spark, sf_dir):
     return docs.groupBy(T.content_hash(F.col("text")).alias("blob_ref")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
 
 
+@query("select doc_id, case when n >= 1048576 then format('{:.1f} MB', n / 1048576.0) when n >= 1024 then format('{:.1f} KB', n / 1024.0) else n || ' B' end as size from (select doc_id, strlen(text) as n from documents)")
+def human_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.human_bytes(F.octet_length("text")).alias("size"))
+
+
+@query("select doc_id, list_filter(list_transform(string_split(coalesce(lang, '') || ', ' || source || ',,x ' || lang, ','), lambda t: trim(t)), lambda t: t <> '')::varchar as tags from documents")
+def tag_lists(spark, sf_dir):
+    tags = T.split_tags(F.concat(F.coalesce("lang", F.lit("")), F.lit(", "), "source", F.lit(",,x "), "lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(tags, ", "), F.lit("]")).alias("tags"))
+
+
 @query("select doc_id, case when length(text) > 200 then left(text, 200) || '...' else text end as preview, case when length(text) > 2000 then left(text, 2000) || '...' else text end as prompt from documents")
 def text_previews(spark, sf_dir):
     t = F.col("text")
@@ -151,6 +171,23 @@ def grep_spans(spark, sf_dir):
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.stop")
 
 
+@query(r"select doc_id, len(regexp_extract_all(text, '\p{Lu}\p{Ll}+\s\p{Lu}\p{Ll}+'))::bigint as hits from documents where regexp_matches(text, '\p{Lu}\p{Ll}+\s\p{Lu}\p{Ll}+')")
+def grep_unicode_classes(spark, sf_dir):
+    found = grep.grep(table(spark, sf_dir, "documents"), r"\p{Lu}\p{Ll}+\s\p{Lu}\p{Ll}+", regex=True)
+    return found.select("doc_id", F.size("spans").cast("long").alias("hits"))
+
+
+@query(
+    r"with p as (select doc_id, string_split_regex(text, '[0-9]{3,}') as p, regexp_extract_all(text, '[0-9]{3,}') as m from documents where regexp_matches(text, '[0-9]{3,}')),"
+    " e as (select doc_id, unnest(m) as m, unnest(p[1:len(m)]) as x, generate_subscripts(m, 1) as k from p),"
+    " s as (select doc_id, strlen(m) as n, sum(strlen(x)) over w + sum(strlen(m)) over w as stop from e window w as (partition by doc_id order by k))"
+    " select doc_id, (stop - n)::bigint as start, stop::bigint as stop from s"
+)
+def grep_regex_spans(spark, sf_dir):
+    found = grep.grep(table(spark, sf_dir, "documents"), "[0-9]{3,}", regex=True)
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.stop")
+
+
 @query(
     "with s as (select doc_id, text, sum(strlen(text)) over (order by doc_id) as scanned from documents where text is not null)"
     " select doc_id, scanned::bigint as scanned from s where scanned <= 500000 and contains(text, 'tion')"
