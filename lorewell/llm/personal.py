@@ -1,13 +1,12 @@
 """Personal data in texts, found by the tagger of ``tagger`` and replaced.
 
 Every byte of every text goes through the network, in windows of ``WINDOW`` bytes
-that overlap by 2 * ``CONTEXT``.  A byte's label comes from the window in which it
-stands farther from the edge, so that labels are reconciled over the whole text;
-runs of one label make a span.  A span then grows to the edges of its token, spans
-that meet are joined, and one that cannot be of its kind (an e-mail address without
-@, an address of fewer than four numbers) is dropped.  A span that is a list of whole
-items of its kind is split into these; one that isn't stays whole, so that no part of
-it is lost.
+that overlap by 2 * ``CONTEXT``.  A byte's scores come from the window in which it
+stands farther from the edge; over these scores the CRF decodes each text as a
+whole, so that no window has labels of its own.  Runs of one label make a span,
+which grows to the edges of the words that it cuts.  A span that is a list of whole
+items of its kind is split into these; one that isn't stays whole, so that no part
+of it is lost.
 """
 
 from __future__ import annotations
@@ -25,30 +24,27 @@ from lorewell.llm.spans import KINDS
 
 STRIDE = tagger.WINDOW - 2 * tagger.CONTEXT
 WEIGHTS = os.path.join(os.path.dirname(__file__), "tagger.npz")
-_TOKEN = {k: np.zeros(256, bool) for k in range(1, len(KINDS))}
-for _k, _chars in ((1, b"._%+-@"), (2, b""), (3, b"."), (4, b""), (5, b"_-+/.")):
-    _TOKEN[_k][48:58] = True
-    _TOKEN[_k][list(_chars)] = True
-    if _k in (1, 5):
-        _TOKEN[_k][65:91] = _TOKEN[_k][97:123] = True
-    if _k == 1:
-        _TOKEN[_k][128:] = True
+_WORD = np.zeros(256, bool)
+_WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
+#: What a piece of a list has at least.
 _SHAPE = {
     1: re.compile(rb"[^@\s]+@[^@\s]+\.[^@\s]+"),
-    2: re.compile(rb"(?:\D*\d){7}"),
-    3: re.compile(rb"\d+\.\d+\.\d+\.\d+"),
+    2: re.compile(rb"(?:\D*\d){6}"),
+    3: re.compile(rb"\d+\.\d+\.\d+\.\d+|(?:[0-9a-fA-F]*:){2}"),
     4: re.compile(rb"(?:\D*\d){13}"),
-    5: re.compile(rb"(?=.*\d)\S{16}"),
+    5: re.compile(rb"\S{8}"),
+    6: re.compile(rb"(?:\D*\d){6}"),
 }
 # one item of each kind, and what may stand between two of them
 _ITEM = {
     1: rb"[\w.%+\-\x80-\xff]+@[\w.\-\x80-\xff]+\.[\w\-\x80-\xff]+",
     2: rb"\+?\d{1,3}[ .-]?\(\d{2,4}\) ?\d{3,4}[ .-]?\d{4}|\(\d{2,4}\) ?\d{3,4}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{1,4}){2,5}|\+\d{2} \d{3} \d{7}|\+\d{11,14}|\d{3}([ .-])\d{3}[ .-]\d{4}|\d{7,15}|\d{3}[ .-]\d{4}",
-    3: rb"\d+\.\d+\.\d+\.\d+",
+    3: rb"\d+\.\d+\.\d+\.\d+|[0-9a-fA-F:]*:[0-9a-fA-F:]+",
     4: rb"\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3\d{3}([ -]?)\d{6}\2\d{5}|\d{13,19}",
     5: rb"[\w\-+/.]{16,}",
+    6: rb"\d{3}-\d{2}-\d{4}|[A-Z]{1,2}\d{6,10}|[A-Z]{2}\d{2}[A-Z0-9]{11,30}",
 }
-_BETWEEN = {1: rb"[^\w.%+\-@\x80-\xff]{1,3}", 2: rb"[\s,;|/]{1,3}", 3: rb"[^\d.]{1,3}", 4: rb"[\s,;|/]{1,3}", 5: rb"[\s,;|\"']{1,3}"}
+_BETWEEN = {1: rb"[^\w.%+\-@\x80-\xff]{1,3}", 2: rb"[\s,;|/]{1,3}", 3: rb"[^\w.:]{1,3}", 4: rb"[\s,;|/]{1,3}", 5: rb"[\s,;|\"']{1,3}", 6: rb"[\s,;|/]{1,3}"}
 _NEXT = {k: re.compile(rb"(?:" + x + rb")(?=" + _BETWEEN[k] + rb"|\Z)") for k, x in _ITEM.items()}
 _GAP = {k: re.compile(x) for k, x in _BETWEEN.items()}
 _LINE = re.compile(rb"[^\s,;|](?:[^\r\n,;|\t]*[^\s,;|])?")
@@ -60,9 +56,9 @@ def load() -> dict[str, np.ndarray]:
         return {k: f[k] for k in f.files}
 
 
-def label(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, texts: int = 1024) -> np.ndarray:
-    """A label for every byte of texts that lie end to end."""
-    out = np.zeros(len(data), np.uint8)
+def emissions(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, texts: int = 1024) -> np.ndarray:
+    """Scores (LABELS, bytes) of every byte of texts that lie end to end."""
+    out = np.zeros((tagger.LABELS, len(data)), np.float32)
     size = np.diff(offsets)
     n = np.maximum(1, -(-(size - 2 * tagger.CONTEXT) // STRIDE)) * (size > 0)
     doc = np.repeat(np.arange(len(size)), n)
@@ -74,23 +70,23 @@ def label(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, texts
     order = np.argsort(stop - start, kind="stable")  # windows of like length run together
     for lo in range(0, len(order), texts):
         some = order[lo : lo + texts]
-        longest = int((stop - start)[some].max())
-        rows = np.full((len(some), longest), 10, np.uint8)  # filled up with line ends
-        for r, w in enumerate(some):
-            rows[r, : stop[w] - start[w]] = data[start[w] : stop[w]]
-        block = np.ascontiguousarray(rows.T)
-        found = tagger.decode(p, block)
-        for c in np.flatnonzero(found.any(axis=0)):
-            w = some[c]
-            out[own_start[w] : own_stop[w]] = found[own_start[w] - start[w] : own_stop[w] - start[w], c]
+        a, b = start[some], stop[some]
+        at = a[None] + np.arange(int((b - a).max()))[:, None]
+        block = np.where(at < b, data[np.minimum(at, len(data) - 1)], np.uint8(10))  # filled up with line ends
+        e = tagger.emissions(p, block)
+        for c, w in enumerate(some):
+            out[:, own_start[w] : own_stop[w]] = e[own_start[w] - start[w] : own_stop[w] - start[w], :, c].T
     return out
 
 
+def label(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A label for every byte of texts that lie end to end: for each text the best path over the whole of it."""
+    return tagger.decode(p, emissions(p, data, offsets), offsets)
+
+
 def items(kind: int, value: bytes) -> list[tuple[int, int]]:
-    """(start, end) of the items that ``value`` is a list of; all of it if it isn't one, nothing if it cannot be of its kind."""
+    """(start, end) of the items that ``value`` is a list of; all of it if it isn't one."""
     shape = _SHAPE[kind]
-    if not shape.search(value):
-        return []
     lines = [m.span() for m in _LINE.finditer(value)]
     if len(lines) > 1 and all(shape.search(value[i:j]) for i, j in lines):
         return [(i + k, i + m) for i, j in lines for k, m in items(kind, value[i:j])]
@@ -119,15 +115,17 @@ def spans(labels: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tup
         d = int(np.searchsorted(offsets, a, side="right")) - 1
         if kind == 0:
             continue
-        token = _TOKEN[kind]
         lo, hi = int(offsets[d]), int(offsets[d + 1])
-        while a > lo and token[data[a - 1]]:
+        while a > lo and _WORD[data[a - 1]] and _WORD[data[a]]:
             a -= 1
-        while b < hi and token[data[b]]:
+        while b < hi and _WORD[data[b]] and _WORD[data[b - 1]]:
             b += 1
-        while kind != 2 and b > a and data[b - 1] in b".-_+/%":
+        while b > a and data[b - 1] in b" \t\r\n.,;":
             b -= 1
-        grown.append((a, b, kind, d))
+        while a < b and data[a] in b" \t\r\n.,;":
+            a += 1
+        if b > a:
+            grown.append((a, b, kind, d))
     merged: list[list[int]] = []
     for a, b, kind, d in sorted(grown):
         last = merged[-1] if merged else None
@@ -155,7 +153,7 @@ def _runs(column: pa.Array, most: int = 2 << 20):
 
 
 def redact(p: dict[str, np.ndarray], column: pa.Array) -> pa.Array:
-    """Texts with [EMAIL], [PHONE], [IP], [CARD] or [SECRET] in place of each span; texts without any are untouched, null stays null."""
+    """Texts with [EMAIL], [PHONE], [IP], [CARD], [SECRET] or [ID] in place of each span; texts without any are untouched, null stays null."""
     out: list[bytes] = []
     for data, offsets in _runs(column):
         raw, found, i = data.tobytes(), find(p, data, offsets), 0
@@ -202,7 +200,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, stop, value), a row for each span; start and stop count characters.
 
     Null doc_ids, and null and empty texts, give no rows; a repeated row gives
-    its spans again.  Other columns are ignored.
+    its spans again, and a text the same spans whatever stands beside it.  Very long
+    texts are read whole.  An empty table gives an empty result; other columns are
+    ignored.
     """
     p = load()
 

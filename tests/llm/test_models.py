@@ -176,6 +176,84 @@ def test_viterbi_against_all_paths():
         assert tuple(tagger.viterbi(p, e)[:, 0]) == best
 
 
+def test_decoding_of_whole_texts_against_viterbi():
+    """Stretches that are decoded by themselves give the best path of each text, whatever texts stand around it."""
+    p, rng = tagger.init(3), np.random.default_rng(1)
+    for _ in range(150):
+        sizes = rng.integers(0, 14, int(rng.integers(1, 6)))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        e = rng.normal(0, 1.5, (tagger.LABELS, offsets[-1])).astype(np.float32)
+        e[0] += rng.choice([0, 1, 2])
+        got = tagger.decode(p, e, offsets, lanes=int(rng.choice([1, 3, 100])))
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            if b > a:
+                assert np.array_equal(got[a:b], tagger.viterbi(p, np.ascontiguousarray(e[:, a:b].T[:, :, None]))[:, 0])
+
+
+def test_scores_of_windows_against_the_definition():
+    p, rng = personal.load(), np.random.default_rng(2)
+    texts = [t for t, _ in spans.sample(rng, 6, 900)] + [b"", b"x", spans.sample(rng, 1, 384)[0][0], spans.sample(rng, 1, 385)[0][0]]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = personal.emissions(p, data, offsets)
+    w, c = tagger.WINDOW, tagger.CONTEXT
+    for t, a in zip(texts, offsets):
+        own = np.frombuffer(t, np.uint8)
+        for at in rng.integers(0, max(1, len(t)), 12).tolist() if t else []:
+            # the window in which the byte stands c bytes from an edge, or the text's first or last
+            k = 0 if at < w - c or len(t) <= w else min((at - c) // (w - 2 * c), -(-(len(t) - 2 * c) // (w - 2 * c)) - 1)
+            window = own[k * (w - 2 * c) : k * (w - 2 * c) + w]
+            assert np.allclose(got[:, a + at], tagger.emissions(p, window[:, None])[at - k * (w - 2 * c), :, 0], atol=5e-3)
+
+
+def test_findings_do_not_depend_on_the_batch():
+    p, rng = personal.load(), np.random.default_rng(6)
+    texts = ["write to anna.meier@mail3.example.com", "john.smith@mail5.example.com is the other", "", "10.1.2.3", "10.1.2.4", "4111111111111111"]
+    texts += [t.decode(errors="ignore") for t, _ in spans.sample(rng, 40, 700)] + ["", "a" * 5000, "é" * 700]
+    rng.shuffle(texts)
+    together = personal.redact(p, pa.array(texts)).to_pylist()
+    assert together == [personal.redact(p, pa.array([t]))[0].as_py() for t in texts]
+
+
+#: Forms from manuals and standards, which neither ``spans`` nor the tables made up.
+FORMS = [
+    ("Write to Anna Meier <anna.meier@uni-heidelberg.de> or call her.", ["anna.meier@uni-heidelberg.de"]),
+    ("Contact: j_doe99@mail.corp.example.org, thanks", ["j_doe99@mail.corp.example.org"]),
+    ("My number is 555-867-5309, call after five.", ["555-867-5309"]),
+    ("Tel. +44 20 7946 0958 (office)", ["+44 20 7946 0958"]),
+    ("Call me at (415) 555-2671 tomorrow", ["(415) 555-2671"]),
+    ("Fax: +49 (0)89 123456-78", ["+49 (0)89 123456-78"]),
+    ("server 10.20.30.40 is down since Monday", ["10.20.30.40"]),
+    ("ping 2001:0db8:85a3:0000:0000:8a2e:0370:7334 fails", ["2001:0db8:85a3:0000:0000:8a2e:0370:7334"]),
+    ("The card 4111 1111 1111 1111 was declined.", ["4111 1111 1111 1111"]),
+    ("Visa 4012888888881881, exp 12/27", ["4012888888881881"]),
+    ("amex 3782-822463-10005", ["3782-822463-10005"]),
+    ("export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]),
+    ("password: hunter2 is not safe", ["hunter2"]),
+    ("The api key is sk-abcdEFGH1234ijklMNOP5678qrst", ["sk-abcdEFGH1234ijklMNOP5678qrst"]),
+    ("SSN 078-05-1120 was stolen", ["078-05-1120"]),
+    ("Pay to IBAN DE89 3704 0044 0532 0130 00 please", ["DE89 3704 0044 0532 0130 00"]),
+    ("GB29NWBK60161331926819 is the account", ["GB29NWBK60161331926819"]),
+]
+CLEAN = ["See ISBN 978-3-16-148410-0 for details.", "commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixes it", "Order 1234567890123 shipped on 2024-05-06 at 12:30.", "The meeting is at 10:15 in room 3.14, see page 1999-2003.", "Version 1.2.3 of the tool costs $1,299.99", "The population was 1 234 567 in 1990 and 2,345,678 in 2010.", "He said: the password is required for the account, and the token of the user.", "Paragraph 12.4.7 and sections 3-5, see RFC 2616.", "x = 3.14159265358979 and y = 2.718281828"]
+
+
+def test_forms_that_were_not_trained():
+    p = personal.load()
+    find = lambda t: [t.encode()[a:b].decode() for a, b, _ in personal.find(p, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))]
+    assert sum(find(t) == values for t, values in FORMS) >= len(FORMS) - 1
+    assert sum(not find(t) for t in CLEAN) >= len(CLEAN) - 1
+
+
+def test_personal_data_of_odd_tables(spark):
+    long = ("plain words go on and on " * 8000) + "mail to ruth.klein@example.org " + ("and on " * 20_000)
+    d = docs(spark, [(1, None), (2, ""), (3, long), (None, "mail to x.y@example.com"), (4, "mail to x.y@example.com"), (4, "mail to x.y@example.com")])
+    got = [(r.doc_id, r.kind, r.value) for r in personal.personal_data(d).collect()]
+    assert sorted(got) == [(3, "EMAIL", "ruth.klein@example.org"), (4, "EMAIL", "x.y@example.com"), (4, "EMAIL", "x.y@example.com")]
+    assert personal.personal_data(d.limit(0)).count() == 0
+    kept = {r.doc_id: r.text for r in personal.redact_documents(d.where("doc_id = 3")).collect()}
+    assert kept[3] == long.replace("ruth.klein@example.org", "[EMAIL]")
+
+
 def test_gradient_against_differences():
     rng, p = np.random.default_rng(4), {k: v.astype(np.float64) for k, v in tagger.init(1).items()}
     data, label = rng.integers(32, 127, (6, 3)).astype(np.uint8), rng.integers(0, tagger.LABELS, (6, 3))
