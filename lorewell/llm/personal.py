@@ -73,7 +73,7 @@ def emissions(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, t
         a, b = start[some], stop[some]
         at = a[None] + np.arange(int((b - a).max()))[:, None]
         block = np.where(at < b, data[np.minimum(at, len(data) - 1)], np.uint8(10))  # filled up with line ends
-        e = tagger.emissions(p, block)
+        e = tagger.emissions(p, block, b - a)
         for c, w in enumerate(some):
             out[:, own_start[w] : own_stop[w]] = e[own_start[w] - start[w] : own_stop[w] - start[w], :, c].T
     return out

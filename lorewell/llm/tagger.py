@@ -31,8 +31,12 @@ def init(seed: int) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in out.items()}
 
 
-def _run(w: np.ndarray, emb: np.ndarray, data: np.ndarray, keep: bool = False, states: np.ndarray | None = None):
-    """One direction over data (steps, texts): states (steps, HIDDEN, texts), and what backpropagation needs."""
+def _run(w: np.ndarray, emb: np.ndarray, data: np.ndarray, keep: bool = False, states: np.ndarray | None = None, size: np.ndarray | None = None):
+    """One direction over data (steps, texts): states (steps, HIDDEN, texts), and what backpropagation needs.
+
+    ``size``, for the way back, has the ascending lengths of the texts, which begin
+    after their filling: a text starts with the state of one that stands alone.
+    """
     steps, n = data.shape
     H = HIDDEN
     states = np.empty((steps, H, n), np.float32) if states is None else states
@@ -44,6 +48,9 @@ def _run(w: np.ndarray, emb: np.ndarray, data: np.ndarray, keep: bool = False, s
     g = np.empty_like(z)
     tmp = np.empty_like(c)
     for t in range(steps):
+        if size is not None:
+            a, b = np.searchsorted(size, [steps - t, steps - t + 1])
+            x[:H, a:b] = c[:, a:b] = 0
         np.take(emb, data[t], axis=1, out=x[H : H + EMBED], mode="clip")
         np.matmul(w, x, out=z)
         np.clip(z[: 3 * H], 0, 1, out=g[: 3 * H])
@@ -148,12 +155,12 @@ def train(steps: int = 4500, texts: int = 96, length: int = 128, pool: int = 800
     return p
 
 
-def emissions(p, data: np.ndarray) -> np.ndarray:
-    """Scores (steps, LABELS, texts) of data (steps, texts)."""
+def emissions(p, data: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Scores (steps, LABELS, texts) of data (steps, texts), in which a text may be shorter (``size``, ascending) and filled up."""
     steps, n = data.shape
     both = np.ones((steps, 2 * HIDDEN + 1, n), np.float32)
     _run(p["wf"], p["emb"], data, states=both[:, :HIDDEN])
-    _run(p["wb"], p["emb"], data[::-1], states=both[::-1, HIDDEN : 2 * HIDDEN])
+    _run(p["wb"], p["emb"], data[::-1], states=both[::-1, HIDDEN : 2 * HIDDEN], size=size)
     return np.matmul(p["out"], both)
 
 
