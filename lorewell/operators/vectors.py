@@ -65,10 +65,12 @@ def similar_pairs(table: DataFrame, threshold: float = 0.85, key: str = "vec_id"
     def compare(parts: list[pa.RecordBatch]):
         t = pa.Table.from_batches(parts)
         ids, side = t["id"].to_numpy(), t["side"].to_numpy()
-        lists = t["q"].to_pylist()
-        for dim in sorted({len(q) for q in lists}):
-            own = np.array([i for i, q in enumerate(lists) if len(q) == dim])
-            x = np.array([lists[i] for i in own], np.float64)
+        lists = t["q"].combine_chunks()
+        flat, length = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(pa.compute.list_value_length(lists))
+        first = np.cumsum(length) - length
+        for dim in np.unique(length).tolist():
+            own = np.flatnonzero(length == dim)
+            x = flat[first[own][:, None] + np.arange(dim)].astype(np.float64)
             size = np.sqrt((x * x).sum(axis=1))
             left = np.flatnonzero(side[own] == 0)
             right = np.flatnonzero(side[own] == 1) if side.any() else left

@@ -28,9 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_MADE: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process wrote at paths of ``shared_path``; for callers who are done with all results that were made from it.
+
+    Checkpoints are Spark's own: it deletes them with their DataFrames where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        where = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        where.getFileSystem(conf).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

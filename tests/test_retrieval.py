@@ -87,3 +87,19 @@ def test_running_sum_and_budget(spark):
         assert r.s == total
     inside, _ = grep.within_budget(docs(spark, "aaaa", "bb", "cccc"), 7)
     assert [r.doc_id for r in inside.collect()] == [1, 2]
+
+
+def test_grep_has_one_dialect(spark):
+    t = spark.createDataFrame([(1, "né 12 été ab"), (2, "xx"), (3, None), (4, "aéa")], "doc_id long, text string")
+    spans = lambda p, **k: {r.doc_id: [tuple(s) for s in r.spans] for r in grep.grep(t, p, regex=True, **k).collect()}
+    assert spans(r"\p{L}+") == {1: [(0, 3), (7, 12), (13, 15)], 2: [(0, 2)], 4: [(0, 4)]}
+    assert spans(r"b\z") == {1: [(14, 15)]} and spans("(") == {} and spans("") == {}
+    assert spans("É", case_sensitive=False) == {1: [(1, 3), (7, 9), (10, 12)], 4: [(1, 3)]}
+    assert spans("x*")[2] == [(0, 2)] and spans("a|(b)") == {1: [(13, 14), (14, 15)], 4: [(0, 1), (3, 4)]}
+
+
+def test_pairs_of_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.1, 0.0]), (5, None), (6, [0.0, 0.0])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block in (4096, 2):
+        assert sorted((r.a, r.b) for r in vectors.similar_pairs(t, 0.9, block=block).collect()) == [(1, 2), (3, 4)]
