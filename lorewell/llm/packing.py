@@ -117,8 +117,8 @@ def pack(docs: DataFrame, size: int = SEQUENCE, length: Column | None = None, bu
     (its end mark).  A row with a null doc_id takes part like any other; rows
     that are repeated are packed each.  Of equal lengths, those with the smaller
     hash bucket, then doc_id, come first; rows alike in all of these are
-    interchangeable.  Other columns are ignored.  An empty table gives an empty
-    result.
+    interchangeable.  Texts of any length are counted whole and cut into pieces.
+    Other columns are ignored.  An empty table gives an empty result.
 
     Ranks are counted in hash buckets of doc_id: a window ranks the pieces of one
     length in one bucket, and the buckets' counts give what to add.  So the most

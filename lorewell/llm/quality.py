@@ -266,8 +266,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """Rows of ``docs`` whose probability is at least ``threshold``, with their columns as they are (and the probability, if named).
 
     Rows are judged one by one, so that copies share their fate; null and empty
-    texts get the network's value for an empty text.  Without documents, or
-    without labels of both kinds, see ``fit``.
+    texts get the network's value for an empty text; texts of any length are judged
+    whole.  Without labels all stay, with labels of one kind all are of that kind
+    (``fit``).  An empty table gives an empty result.
     """
     net = train(docs, labels)
     mark = probability_as or "__probability"

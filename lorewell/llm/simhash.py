@@ -266,8 +266,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     smallest doc_id.  A document without links is a class by itself and has no row.
     Documents with a null doc_id, a null or empty text or no word have no signature
     and are in no class.  A doc_id on several rows counts as one document, whose
-    texts are in one class and whose links add up.  An empty table gives an empty
-    result; other columns are ignored.
+    texts are in one class and whose links add up.  Very long texts are read whole.
+    An empty table gives an empty result; other columns are ignored.
 
     Documents of equal signature and equal blocks are compared as one, so that
     thousands of copies cost one comparison; their links count nevertheless.  A

@@ -140,6 +140,26 @@ def test_chunked_convolution_against_single_windows():
         assert abs(1 / (1 + math.exp(-z)) - p) < 1e-3
 
 
+def test_quality_of_a_text_of_megabytes(spark):
+    net = quality.fit([b"abc def " * 9, b"zzz" * 50, b"abc xyz", b"zz q" * 80], np.array([1, 0, 1, 0]), steps=20)
+    long = "abc def xyz " * 300_000
+    d = docs(spark, [(1, long), (2, "zzz"), (3, long)])
+    got = {r.doc_id: r.p for r in d.select("doc_id", quality.probability(net, F.col("text")).alias("p")).collect()}
+    alone = quality.score(net, np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))[0]
+    assert got[1] == got[3] and got[1] == pytest.approx(alone, abs=1e-4)
+
+
+def test_training_lowers_the_loss():
+    texts, good = [b"abc def ghi jkl " * 4, b"zzz yyy " * 20], np.array([True, False])
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+    def loss(net):
+        p = quality.score(net, data, offsets)
+        return -np.log(np.where(good, p, 1 - p)).mean()
+
+    assert loss(quality.fit(texts, good, steps=60)) < 0.5 * loss(quality.fit(texts, good, steps=0))
+
+
 def test_quality_of_odd_tables(spark):
     d = docs(spark, [(1, "fine words"), (2, None), (None, "x"), (4, "")]).selectExpr("*", "1 as probability", "2 as __probability")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -43,3 +43,41 @@ def test_names():
 
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def write_tables(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").limit(0).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length string, keys string, __row string, `class_id` string"
+
+
+def test_nulls_repeats_and_clashing_names(spark, tmp_path):
+    same = "quite the same words stand in these rows, again and again, line by line"
+    leak = "before it One two, three four five six seven and after it"
+    mail = "please write to anna.meier@example.org about the plan for the next year"
+    texts = [(1, same), (2, same), (2, same), (None, same), (3, leak), (None, leak + " more"), (4, mail), (5, None), (None, None), (6, ""), (7, "..."), (8, "x")]
+    rows = [(i, t, None, None, len(t) if t else None, "a", "b", "c", "d") for i, t in texts]
+    write_tables(spark, tmp_path, spark.createDataFrame(rows, SCHEMA))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 4, 5, 6, 7, 8] and sum(r.length for r in got) == 15 + 12 + 4 * 1 + 2  # words and end marks; an address becomes one word
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+
+
+def test_empty_tables(spark, tmp_path):
+    write_tables(spark, tmp_path, spark.createDataFrame([], SCHEMA))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_text_of_megabytes(spark, tmp_path):
+    words = ["".join("bdklmnrst"[k % 9] + "aeiou"[k % 5] for k in (i % 45, i * i % 97, i % 7)) for i in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, "short one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "", "", "", "") for i, t in rows], SCHEMA)
+    write_tables(spark, tmp_path, docs)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == 400_001 and {r.doc_id for r in got} == {1, 3}
