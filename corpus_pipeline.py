@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet in the shared folder and read again as the next stage's documents.
+
+Every stage judges row by row.  A null text and one without words are no duplicates
+and no leaks; the network judges them as empty texts; they pack as their end mark.  A
+null doc_id is carried along, also through packing; repeated rows are duplicates of
+which one stays.  Of a group of near-duplicates the row of smallest doc_id stays, one
+without doc_id only if there is no other.  Empty tables pass through all stages and
+give empty results; without labels the first stage keeps everything, with labels of one
+kind only all documents are of that kind.  Texts of any length are read whole.  Other columns of documents
+stay as they are up to packing, whatever their names.
 """
 
 from __future__ import annotations
