@@ -44,15 +44,15 @@ def normalised(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def exact(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, other: np.ndarray, k: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """(n, k) neighbours and similarities of the queries among x, most similar first, ties by id; a vector is no neighbour of its own id.
+def exact(queries: np.ndarray, ids: np.ndarray | None, x: np.ndarray, other: np.ndarray, k: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(n, k) neighbours and similarities of the queries among x, most similar first, ties by id; with ``ids`` a vector is no neighbour of its own id.
 
     Places that nothing fills have id -1 and similarity -inf.
     """
     n, m = len(queries), len(x)
     near, sim = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf, np.float32)
     by_id = np.argsort(other, kind="stable")
-    first, last = (np.searchsorted(other[by_id], ids, side=side) for side in ("left", "right"))
+    first, last = (np.searchsorted(other[by_id], ids, side=side) for side in ("left", "right")) if ids is not None else np.zeros((2, n), np.int64)
     for lo in range(0, n, block):
         s = queries[lo : lo + block] @ x.T
         f, times = first[lo : lo + block], (last - first)[lo : lo + block]
@@ -385,7 +385,7 @@ def _rerank(k: int):
                     vectors.append(x)
                 elif ids:
                     ready = ready or (np.concatenate(ids), np.concatenate(vectors))
-                    near, sim = exact(x, own, ready[1], ready[0], k)
+                    near, sim = exact(x, None, ready[1], ready[0], k)
                     r, c = np.nonzero(near >= 0)
                     yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(near[r, c]), pa.array(sim[r, c].astype(np.float64))], names=["id", "neighbour", "similarity"])
 
@@ -405,29 +405,39 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector: s
     fewer are returned; an empty table gives an empty result; other columns are
     ignored.
 
-    A part of more than ``TILE`` candidates (copies of one vector cannot be told
-    apart by any router) is split into tiles, and its queries go to each of them.
+    Of copies of one vector, however many, the k + 1 of smallest id are candidates,
+    for no other can be among a query's k best; copies that are queries are searched
+    for once, and each leaves itself out of what is found.  A part of more than
+    ``TILE`` candidates is split into tiles, and its queries go to each of them.
     """
     spark = vectors.sparkSession
-    rows = cut(_usable(vectors, id_col, vector, queries))
+    rows = cut(_usable(vectors, id_col, vector, queries).distinct())
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()  # a row a length
     if not lengths:
         return spark.createDataFrame([], "id long, neighbour long, rank int, similarity double")
-    each = [_found(rows.where(F.size("v") == n["n"]), n["count"], k, part_rows, sample, recall) for n in lengths]
-    return _best(reduce(DataFrame.union, each), k).select("id", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
-
-
-def _found(rows: DataFrame, total: int, k: int, part_rows: int, sample: int, recall: float) -> DataFrame:
-    """What the search finds in ``rows`` (id, v, query), whose vectors are of one length."""
+    numbers = cut(rows.where("query").select("v").distinct().withColumn("first", F.monotonically_increasing_id()))  # of the different queries
+    each = [_found(*(t.where(F.size("v") == n["n"]) for t in (rows, numbers)), k, part_rows, sample, recall) for n in lengths]
+    found = _best(reduce(DataFrame.union, each), k + 1).drop("rank").withColumnRenamed("id", "first")
+    # every query has what its vector has, but for itself
+    asked = rows.where("query").select("id", "v").distinct().join(numbers, "v").select("id", "first")
+    mine = asked.join(found, "first").where("id <> neighbour").drop("first")
+    return _best(mine, k).select("id", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+def _found(rows: DataFrame, numbers: DataFrame, k: int, part_rows: int, sample: int, recall: float) -> DataFrame:
+    """(number of the query, neighbour, similarity) that the search finds in ``rows`` (id, v), all of one length, for the queries of ``numbers`` (v, first)."""
+    among_copies = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    rows = cut(rows.select("id", "v").distinct().withColumn("copy", among_copies).where(F.col("copy") <= k + 1).drop("copy"))
+    total = rows.count()
     held = rows.orderBy(F.xxhash64("id", F.lit(1)), "id", "v").limit(min(HELD_OUT, max(1, total // 5))).toArrow()
     ids, first = np.unique(held["id"].to_numpy(), return_index=True)
     placed, levels = build(rows, total, ids.tolist(), part_rows, sample)
-    asked = rows.where("query").select("id", "v", F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("lp"), F.lit(None).cast("long").alias("goal"))
+    asked = numbers.select(F.col("first").alias("id"), "v", F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("lp"), F.lit(None).cast("long").alias("goal"))
     if levels:
         cutoff = cutoff_of(rows, placed, levels, ids, normalised(held["v"].combine_chunks())[first], k, recall)
         for level, routers in enumerate(levels):
-            asked = _down(asked, level, routers, _spread(cutoff, 8 * k))
+            asked = _down(asked, level, routers, _spread(cutoff, 8 * (k + 1)))
     sizes = placed.groupBy("node").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     stored = placed.select("id", "v", "node").join(sizes, "node").select("id", "v", "node", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"), F.lit(0).alias("query"))
     sent = asked.select("id", "v", "node").join(sizes, "node").select("id", "v", "node", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("query"))
-    return stored.union(sent).repartition("node", "tile").sortWithinPartitions("node", "tile", "query").mapInArrow(_rerank(k), FOUND)
+    return stored.union(sent).repartition("node", "tile").sortWithinPartitions("node", "tile", "query").mapInArrow(_rerank(k + 1), FOUND)

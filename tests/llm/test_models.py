@@ -513,6 +513,22 @@ def test_query_of_the_table_against_brute_force(spark):
     assert share_found(got, x) >= 0.9
 
 
+def test_copies_of_vectors(spark):
+    """Copies find the ones of smallest id but themselves; a copy under another id that has a second vector keeps both apart."""
+    rng = np.random.default_rng(14)
+    a, b, c = (rng.normal(0, 1, 8).astype(np.float32).tolist() for _ in range(3))
+    rows = [(i, a) for i in range(100)] + [(200 + i, b) for i in range(3)] + [(5, c), (5, c), (300, c)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in neighbours.neighbours(t, k=4).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbour))
+    unit = {i: [np.array(v) / np.linalg.norm(v) for j, v in rows if j == i] for i, _ in rows}
+    for i, own in got.items():
+        s = {j: max(float(x @ y) for x in unit[i] for y in unit[j]) for j in unit if j != i}
+        assert [n for _, n in sorted(own)] == sorted(s, key=lambda j: (-round(s[j], 5), j))[:4]
+    assert set(got) == set(unit)
+
+
 def test_few_vectors(spark):
     t = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r.id, r.neighbour) for r in neighbours.neighbours(t).orderBy("id", "rank").collect()]
