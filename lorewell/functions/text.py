@@ -150,8 +150,8 @@ def preview(text: Column, most: int = 200) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """1024-based size with one decimal."""
+    """1024-based size with one decimal, ties to even."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", n / float(1024**power)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", F.bround(n / float(1024**power), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out

@@ -49,5 +49,5 @@ def test_small_things(spark):
     assert one(spark, " a,b\t,, c ", T.split_tags) == ["a", "b", "c"]
     assert one(spark, "x" * 2001, T.truncate_for_prompt) == "x" * 2000 + "..."
     assert one(spark, "One. Two! 三。x", T.sentences) == ["One.", " Two!", " 三。", "x"]
-    sizes = spark.createDataFrame([(5,), (2048,), (3 << 20,)], "n long").select(T.human_bytes(F.col("n"))).collect()
-    assert [r[0] for r in sizes] == ["5 B", "2.0 KB", "3.0 MB"]
+    sizes = spark.createDataFrame([(5,), (2048,), (3 << 20,), (1280,), (1792,), (1536,)], "n long").select(T.human_bytes(F.col("n"))).collect()
+    assert [r[0] for r in sizes] == ["5 B", "2.0 KB", "3.0 MB", "1.2 KB", "1.8 KB", "1.5 KB"]
