@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -55,14 +54,3 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let go of shuffle files of DataFrames that nobody holds any more.
-
-    Executors keep them until the driver's garbage collector comes by, which a
-    large heap may put off for hours; worth a call after a stage that shuffled as
-    much as the corpus and was cut.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
