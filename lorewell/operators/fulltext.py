@@ -61,9 +61,10 @@ def bm25(docs: DataFrame, query: str, top_k: int = 10, analyzer: str = "en", tex
         return docs.select(key, F.lit(0.0).alias("score")).where("false")
     mark = candidates if candidates is not None else F.lit(True)
     tok = T.analyzer(analyzer)(F.coalesce(F.col(text), F.lit("")))
-    counted = docs.select(F.col(key), mark.alias("__ok"), tok.alias("__t")).select(
-        key, "__ok", F.size("__t").cast("long").alias("dl"), *(occurrences(F.col("__t"), w).alias(f"tf{i}") for i, (w, _) in enumerate(terms))
-    )
+    # one pass over a text's words leaves those of the query, which are counted term by term
+    asked = F.filter("__t", lambda w: w.isin([t for t, _ in terms]))
+    counted = docs.select(F.col(key), mark.alias("__ok"), tok.alias("__t")).select(key, "__ok", F.size("__t").cast("long").alias("dl"), asked.alias("__a"))
+    counted = counted.select(key, "__ok", "dl", *(occurrences(F.col("__a"), w).alias(f"tf{i}") for i, (w, _) in enumerate(terms)))
     # kept as a narrow table: texts are read and tokenized once, and no filter on counts is pushed below them
     counted = cut(counted).where("dl > 0")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
