@@ -136,7 +136,7 @@ def tokenize(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     def run(batches):
         seen = pieces_of(ranks)
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 ids, offsets = encode(batch.column("text"), seen)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 rest = batch.schema.names[2:]
