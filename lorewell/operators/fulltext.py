@@ -3,7 +3,7 @@
 Two ways to search.  ``bm25`` scans texts once: occurrences of each query term are
 counted inside the row, so that nothing is exploded or shuffled; what is kept of a
 document is its length and these counts.  ``search_index`` reads a stored index,
-whose postings are sorted by term, so that a query opens few row groups.
+where the postings of a term stand together, so that a query reads few pages.
 """
 
 from __future__ import annotations
@@ -30,6 +30,21 @@ def exploded(tokens_: DataFrame, *keep: str) -> DataFrame:
     return tokens_.select(*keep, F.explode_outer("tokens").alias("term")).where("term is not null")
 
 
+def counted(tokens_: DataFrame, *keep: str) -> DataFrame:
+    """(keep, counts): array<struct<term,tf>> of each row's own tokens.
+
+    Words are counted inside the row, in the order of their sorting, so that no task
+    holds a table of pairs of terms and documents.
+    """
+    at = lambda i: F.get("__s", i)
+    ordered = tokens_.select(*keep, F.sort_array("tokens").alias("__s"))
+    # a run of equal words begins where the word before is another; the end counts as one more
+    starts = F.filter(F.sequence(F.lit(0), F.size("__s")), lambda i: ~at(i).eqNullSafe(at(i - 1)))
+    runs = ordered.select(*keep, "__s", starts.alias("__at"))
+    each = F.transform(F.slice("__at", 1, F.greatest(F.size("__at") - 1, F.lit(0))), lambda i, k: F.struct(at(i).alias("term"), (F.get("__at", k + 1) - i).cast("long").alias("tf")))
+    return runs.select(*keep, each.alias("counts"))
+
+
 def postings(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> DataFrame:
     """(term, key, tf)."""
     return exploded(tokens(docs, analyzer, text, key), key).groupBy("term", key).agg(F.count("*").alias("tf")).select("term", key, "tf")
@@ -78,23 +93,39 @@ def bm25(docs: DataFrame, query: str, top_k: int = 10, analyzer: str = "en", tex
 
 
 def sized_postings(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str = "doc_id", *keep: str) -> DataFrame:
-    """(keep, key, dl, term, tf): postings with their document's length; a row with a null term and the length for every document.
+    """(keep, key, dl, term, tf): postings of each row with its length; a row with a null term and the length for every document.
 
     Texts are tokenized once for both.
     """
     t = docs.select(*keep, key, T.analyzer(analyzer)(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    each = t.select(*keep, key, F.size("tokens").cast("long").alias("dl"), F.explode(F.array_append("tokens", F.lit(None))).alias("term"))
-    return each.where("dl > 0").groupBy(*keep, "term", key, "dl").agg(F.count("*").alias("tf"))
+    sized = counted(t.select("*", F.size("tokens").cast("long").alias("dl")), *keep, key, "dl")
+    length = F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf"))
+    each = sized.select(*keep, key, "dl", F.explode(F.array_append("counts", length)).alias("c"))
+    return each.where("dl > 0").select(*keep, key, "dl", "c.term", "c.tf")
+
+
+def _place(term: Column) -> Column:
+    """Where a term's postings stand: files are sorted by this number, which is faster to sort by than the term."""
+    return F.xxhash64(term)
 
 
 def write_index(docs: DataFrame, path: str, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> None:
-    """Postings with their document's length, range-partitioned and sorted by term; and the collection's two totals, made from what was written."""
-    full = sized_postings(docs, analyzer, text, key)
-    full.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    lengths = docs.sparkSession.read.parquet(f"{path}/postings").where("term is null")
+    """Postings with their document's length, each term's in one place of a file; and the collection's two totals, made from what was written.
+
+    Postings move once, and tasks grow in number, not in size: what is too large for
+    one is sorted in several.
+    """
+    full = sized_postings(docs, analyzer, text, key).withColumn("place", _place(F.col("term")))
+    full.hint("rebalance", "place").sortWithinPartitions("place").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths = _stored(docs.sparkSession, path, [None]).where("term is null").select(key, "dl").distinct()
     lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
+def _stored(spark: SparkSession, path: str, terms: list[str | None]) -> DataFrame:
+    """What an index has in the places of these terms; the places are pushed down to the scan."""
+    return spark.read.parquet(f"{path}/postings").where(F.col("place").isin([_place(F.lit(t).cast("string")) for t in terms])).drop("place")
+
+
 def rank(own: DataFrame, totals: DataFrame, terms: list[tuple[str, int]], top_k: int = 10, key: str = "doc_id", k1: float = scores.K1, b: float = scores.B, candidates: DataFrame | None = None) -> DataFrame:
     """(key, score) from the postings (term, key, dl, tf) of the query's terms and one row (n, avgdl); ``candidates`` (key) limits what may be found."""
     dfs = own.groupBy("term").agg(F.count("*").alias("df"))
@@ -109,7 +140,8 @@ def rank(own: DataFrame, totals: DataFrame, terms: list[tuple[str, int]], top_k:
 def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, analyzer: str = "en", key: str = "doc_id", k1: float = scores.K1, b: float = scores.B) -> DataFrame:
     """Like ``bm25``, from a stored index: the terms are pushed down to the scan."""
     terms = query_terms(spark, query, analyzer)
-    own = spark.read.parquet(f"{path}/postings").where(F.col("term").isin([t for t, _ in terms]))
+    own = _stored(spark, path, [t for t, _ in terms]).where(F.col("term").isin([t for t, _ in terms]))
+    own = own.groupBy("term", key, "dl").agg(F.sum("tf").alias("tf"))  # rows of one key and length count as one document
     return rank(own, spark.read.parquet(f"{path}/totals"), terms, top_k, key, k1, b)
 
 
