@@ -46,8 +46,11 @@ def counted(tokens_: DataFrame, *keep: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(term, key, tf)."""
-    return exploded(tokens(docs, analyzer, text, key), key).groupBy("term", key).agg(F.count("*").alias("tf")).select("term", key, "tf")
+    """(term, key, tf), one row for each term and key; only where a key stands in several rows are these put together."""
+    found = counted(tokens(docs, analyzer, text, key), key).select(key, F.explode_outer("counts").alias("c")).select("c.term", key, "c.tf").where("term is not null")
+    if docs.groupBy(key).count().where("count > 1").isEmpty():
+        return found
+    return found.groupBy("term", key).agg(F.sum("tf").alias("tf"))
 
 
 def doc_stats(docs: DataFrame, analyzer: str = "en", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -159,5 +162,5 @@ def token_stats(tokens_: DataFrame) -> DataFrame:
 
 
 def remove(table: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Postings or lengths without the documents of ``gone``."""
+    """Documents, postings or lengths without the documents of ``gone``; of documents fewer rows move than of their postings."""
     return table.join(gone.select(key).distinct(), key, "left_anti")
